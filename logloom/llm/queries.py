@@ -40,7 +40,23 @@ def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_sharding, op2_warc_salvage, op3_exact_dedup, op4_minmax_near_dedup)}
+def op5_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from logloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from logloom.llm.bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_sharding, op2_warc_salvage, op3_exact_dedup, op4_minmax_near_dedup, op5_histogram_packing, op7_byte_bpe)}
 
 ORACLE = {
     "op2_warc_salvage": """
