@@ -56,7 +56,19 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_sharding, op2_warc_salvage, op3_exact_dedup, op4_minmax_near_dedup, op5_histogram_packing, op7_byte_bpe)}
+def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.quality import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op9_neighbour_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.toxicity import classify_toxicity
+
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_sharding, op2_warc_salvage, op3_exact_dedup, op4_minmax_near_dedup, op5_histogram_packing, op6_neighbour_quality, op7_byte_bpe, op9_neighbour_toxicity)}
 
 ORACLE = {
     "op2_warc_salvage": """
