@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Bits of one bitmap that bitmap_construct_agg builds.
 BITMAP_BITS = 32768
 #: Upper bound of the text bytes that a Python worker handles at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
