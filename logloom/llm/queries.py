@@ -62,13 +62,25 @@ def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op8_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.langid import classify_language
+
+    return classify_language(table(spark, sf_dir, "documents"))
+
+
 def op9_neighbour_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from logloom.llm.toxicity import classify_toxicity
 
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_sharding, op2_warc_salvage, op3_exact_dedup, op4_minmax_near_dedup, op5_histogram_packing, op6_neighbour_quality, op7_byte_bpe, op9_neighbour_toxicity)}
+def op10_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from logloom.llm.media import media_features
+
+    return media_features(table(spark, sf_dir, "documents")).drop("clips")
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_sharding, op2_warc_salvage, op3_exact_dedup, op4_minmax_near_dedup, op5_histogram_packing, op6_neighbour_quality, op7_byte_bpe, op8_kneser_ney_langid, op9_neighbour_toxicity, op10_avi_media)}
 
 ORACLE = {
     "op2_warc_salvage": """
