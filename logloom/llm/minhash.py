@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import chunks, membership_filter, mix64, probe, staged, word_hashes
@@ -18,6 +20,10 @@ WORDS, PERCENT = 5, 75
 BANDS, ROWS = 64, 6
 #: Shingles that are permuted at once.
 BLOCK = 4096
+#: While buckets with several components hold more than so many pairs a row, up to so many turns link each bucket's members to another pivot first.
+PAIRS_A_ROW, TURNS = 12, 2
+#: Bits of the bitmap of a set that bounds what two sets share.
+BITS = 1024
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
@@ -90,7 +96,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, hasher: MinMax) -> D
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
-    """rows: (_text binary). (node, shingles) of the rows' sets that aren't empty."""
+    """rows: (_text binary). (node, shingles, bits) of the rows' sets that aren't empty; bits marks the shingles modulo BITS."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,9 +104,27 @@ def sets_of(rows: DataFrame) -> DataFrame:
                 sets = [x for x in shingle_sets(part.column(0).to_pylist()) if len(x)]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array([bitmap(x) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles", "bits"])
 
-    return rows.select("_text").mapInArrow(build, "node binary, shingles array<long>")
+    return rows.select("_text").mapInArrow(build, "node binary, shingles array<long>, bits array<long>")
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits as 64-bit integers, then how many more shingles than marked bits there are."""
+    marks = np.zeros(BITS, np.uint8)
+    marks[(shingles % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.append(np.packbits(marks, bitorder="little").view(np.int64), len(shingles) - int(marks.sum()))
+
+
+def possible(n: str, bits: str, m: str, other: str, percent: int = PERCENT) -> Column:
+    """Whether sets of n and m shingles with these bitmaps can be similar enough.
+
+    A bit that the other set lacks stands for a shingle at least that it lacks, so two sets share at most the common bits and the
+    shingles beyond the bits of either: no link is lost. (One short expression: it is compiled into the join.)
+    """
+    both = reduce(add, [F.bit_count(F.col(bits)[i].bitwiseAND(F.col(other)[i])) for i in range(BITS // 64)])
+    need = F.ceil(percent * (F.col(n) + F.col(m)) / (100 + percent)) - F.least(F.col(bits)[BITS // 64], F.col(other)[BITS // 64])
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (both >= need)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -139,8 +163,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Signatures; rows with equal sets form a class, and only classes go on. 2. In every band bucket each class is paired with the
     bucket's least class, and the pairs are confirmed on whole sets: links in a group of similar texts grow with the group, not
-    with its square. 3. Of the buckets that still hold several components, every pair of classes from different components that
-    can reach the similarity by size is confirmed too, so no link between components that share a bucket is lost. 4. Components.
+    with its square. 3. While large buckets hold several components, their members are paired with another pivot, drawn anew each
+    turn, which joins what belongs together. 4. Then every pair of classes that share a bucket but not a component, and that the
+    sets' sizes and bitmaps allow to be similar enough, is confirmed too, so no link between components that share a bucket is
+    lost; within a bucket the bitmaps of each class outside the bucket's largest component are compared with all others', but only
+    what they allow leaves the join. 5. Components.
 
     Sets are computed again for classes that share a bucket, found through a filter of fixed size. Texts without words (null,
     empty, white space) have n_shingles 0 and are linked with nothing. Null ids: such rows are linked like others; component_id
@@ -159,17 +186,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).withColumn("_k", key)
     sets = staged(sets_of(probe(texts, "_k", membership_filter(wanted, "_k"))), "sets")
 
-    sizes = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
+    bits = sets.select("node", "bits").dropDuplicates(["node"])
+    members = members.select("band", "node", "n", "leader")
+    led = members.where("node <> leader").select("node", "leader", "n").distinct()
     leaders = members.where("node = leader").select("leader", F.col("n").alias("m")).distinct()
-    stars = members.where("node <> leader").select("node", "leader", "n").distinct().join(leaders, "leader").where(sizes(F.col("n"), F.col("m")))
+    stars = led.join(leaders, "leader").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     links = staged(confirmed(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")), sets, percent), "links")
     roots = connected_components(links)
 
-    placed = members.where("node <> leader").join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
-    several = placed.groupBy("band").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).where("_a <> _z").select("band")
-    placed = staged(placed.join(several, "band"), "placed")
-    other = placed.select("band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-    crossing = placed.withColumnRenamed("node", "a").join(other, "band").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & sizes(F.col("n"), F.col("m")))
+    for turn in range(TURNS + 1):
+        placed = members.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+        several = placed.groupBy("band").agg(F.min("root").alias("_a"), F.max("root").alias("_z"), F.count(F.lit(1)).alias("_k")).where("_a <> _z").select("band", "_k")
+        placed = staged(placed.join(several, "band").join(bits, "node"), "placed")
+        rows_left, pairs_left = placed.agg(F.count(F.lit(1)), F.sum("_k")).first()
+        if turn == TURNS or not rows_left or pairs_left <= PAIRS_A_ROW * rows_left:
+            break
+        pivot = placed.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root", "bits")).alias("p")).select("band", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("node", "n", "root", "bits")])
+        pairs = placed.join(pivot, "band").where((F.col("root") != F.col("root_b")) & possible("n", "bits", "n_b", "bits_b", percent))
+        more = staged(confirmed(pairs.select(F.col("node_b").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "links")
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    major = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_c")).groupBy("band").agg(F.max(F.struct("_c", "root")).alias("_m")).select("band", F.col("_m.root").alias("major"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work, not bytes, is what there is to spread here
+    placed = placed.join(major, "band").withColumn("minor", F.col("root") != F.col("major")).repartition(parts, "band")
+    other = placed.select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "bits", "minor")])
+    crossing = placed.where("minor").join(other, "band").where((~F.col("minor_b") | (F.col("node") < F.col("node_b"))) & (F.col("root") != F.col("root_b")) & possible("n", "bits", "n_b", "bits_b", percent))
+    crossing = crossing.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
     more = staged(confirmed(crossing.select("a", "b").distinct(), sets, percent), "links")
     if not more.isEmpty():
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
