@@ -45,10 +45,12 @@ class Neighbours:
     def __init__(self, x: np.ndarray, y: np.ndarray, dimensions: int = DIMENSIONS, k: int = NEIGHBOURS, power: float = POWER):
         self.y, self.k, self.power = y.astype(np.float32), min(k, len(y)), power
         share = (x > 0).mean(axis=0) if len(x) else np.zeros(FEATURES)
-        weight = np.where(share > 0, np.sqrt(np.log((1 + len(x)) / (1 + share * len(x))) + 0.1), 0)
-        a = _unit(x * weight).astype(np.float64)
+        seen = np.flatnonzero(share)
+        weight = np.sqrt(np.log((1 + len(x)) / (1 + share[seen] * len(x))) + 0.1)
+        a = _unit(x[:, seen] * weight).astype(np.float64)
         _, vectors = np.linalg.eigh(a.T @ a)
-        self.projection = (weight[:, None] * vectors[:, -dimensions:]).astype(np.float32)
+        self.projection = np.zeros((FEATURES, min(dimensions, len(seen))), np.float32)
+        self.projection[seen] = weight[:, None] * vectors[:, len(seen) - self.projection.shape[1] :]
         self.vectors = _unit(x @ self.projection).astype(np.float32)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -86,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per
 
 
 def score_quality(docs: DataFrame, model: Neighbours, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: (doc_id, score, predicted), then the columns named in ``carry``. The score depends on the text alone.
+    """One row per row of docs: (doc_id, score, predicted), then, if any are named, the columns of ``carry`` in a struct row. The score depends on the text alone.
 
     Null and empty texts score 0; texts of fewer than three bytes by their repeated words only. Repeated rows score alike; an
     empty table gives no rows; columns not named are ignored, clashing names included.
@@ -105,7 +107,7 @@ def score_quality(docs: DataFrame, model: Neighbours, threshold: float = 0.3, id
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     kinds = dict(rows.dtypes)
     out = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, score double, predicted int" + "".join(f", _c{i} {kinds[f'_c{i}']}" for i in range(len(carry))))
-    return out.select("doc_id", "score", "predicted", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
+    return out.select("doc_id", "score", "predicted", *([F.struct(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]).alias("row")] if carry else []))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
