@@ -178,7 +178,7 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, rows: int = ROWS, id_c
 
 
 def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: (doc_id, lang_pred, score, rejected, cross_entropy), then the columns named in ``carry``.
+    """One row per row of docs: (doc_id, lang_pred, score, rejected, cross_entropy), then, if any are named, the columns of ``carry`` in a struct row.
 
     The language is the one of least cross-entropy a character over the whole text. und, score 0 and rejected: texts that are
     null, empty or without letters, or any text if nothing was learned. Rejected with a language: a cross-entropy far above all
@@ -198,7 +198,7 @@ def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", te
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     kinds = dict(rows.dtypes)
     out = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, lang_pred string, score double, rejected boolean, cross_entropy double" + "".join(f", _c{i} {kinds[f'_c{i}']}" for i in range(len(carry))))
-    return out.select("doc_id", "lang_pred", "score", "rejected", "cross_entropy", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
+    return out.select("doc_id", "lang_pred", "score", "rejected", "cross_entropy", *([F.struct(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]).alias("row")] if carry else []))
 
 
 def classify_language(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
