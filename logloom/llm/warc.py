@@ -124,13 +124,16 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """
     body = F.coalesce(F.col(body_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), body.alias("body"))
-    rows = rows.withColumn("sha1", F.sha1("body"))
-    first = rows.where(F.length("body") >= min_payload).groupBy("sha1").agg(F.min("id").alias("first"))
-    typed = rows.join(first, "sha1", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id")) & (F.length("body") >= min_payload)
+    rows = rows.withColumn("sha1", F.sha1("body")).withColumn("key", F.xxhash64("id", "sha1"))
+    total = rows.agg(F.sum(F.length("body"))).first()[0] or 0
+    files = max(1, -(-int(total) // file_bytes))
+    # the narrow side finds each payload's first record; then it meets the bodies, which are shuffled once, into the files' partitions
+    narrow = rows.select("id", "sha1", "key", F.length("body").alias("size"))
+    first = narrow.where(F.col("size") >= min_payload).groupBy("sha1").agg(F.min("id").alias("first"))
+    first = narrow.select("id", "sha1", "key").join(first, "sha1").where("first is not null").groupBy("key", "sha1").agg(F.first("first").alias("first"))
+    typed = rows.repartition(files, "key").join(first.repartition(files, "key"), ["key", "sha1"], "left")
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
     typed = typed.select("id", "url", "sha1", F.length("body").cast("long").alias("size"), F.when(revisit, F.lit(b"")).otherwise(F.col("body")).alias("body"), F.when(revisit, F.col("first")).alias("first"))
-    total = pages.agg(F.sum(F.octet_length(body))).first()[0] or 0
-    typed = typed.repartition(max(1, -(-int(total) // file_bytes)), F.xxhash64("id", "sha1"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
