@@ -1,0 +1,58 @@
+"""Masking: truncated addresses and hashed user names."""
+
+from __future__ import annotations
+
+import ipaddress
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from logloom.functions.fields import IPV4
+
+#: Keys of user names.
+USER_KEYS = ("user", "username", "user_name", "src_user", "dst_user")
+
+
+def mask_ipv4(c: Column, prefix: int = 24) -> Column:
+    """The network address of an IPv4 text; null if it isn't one."""
+    octet = lambda i: F.try_element_at(F.split(c, r"\."), F.lit(i)).try_cast("bigint")
+    number = octet(1) * 16777216 + octet(2) * 65536 + octet(3) * 256 + octet(4)
+    masked = number.bitwiseAND(F.lit(((1 << 32) - 1) ^ ((1 << (32 - prefix)) - 1)).cast("bigint"))
+    byte = lambda s: F.shiftright(masked, s).bitwiseAND(F.lit(255)).cast("string")
+    return F.when(c.rlike(IPV4), F.concat_ws(".", byte(24), byte(16), byte(8), byte(0)))
+
+
+def _mask_ipv6(prefix: int):
+    @F.pandas_udf("string")
+    def mask(values: pd.Series) -> pd.Series:
+        def one(v):
+            try:
+                return str(ipaddress.ip_network((ipaddress.IPv6Address(v), prefix), strict=False).network_address)
+            except ValueError:
+                return None
+
+        return values.map(one, na_action="ignore")
+
+    return mask
+
+
+def mask_address(c: Column, v4: int = 24, v6: int = 64, ipv6: bool = True) -> Column:
+    """An address truncated to its network; other texts as they are. IPv6 needs Python, as Spark has no such function; ``ipv6=False`` leaves it out."""
+    other = F.when(c.contains(":"), F.coalesce(_mask_ipv6(v6)(F.when(c.contains(":"), c)), c)).otherwise(c) if ipv6 else c
+    return F.coalesce(mask_ipv4(c, v4), other)
+
+
+def hash_user(c: Column, salt: str) -> Column:
+    if not salt:
+        raise ValueError("hashing user names needs a salt")
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(salt + ":"), c), 256))
+
+
+def mask_map(m: Column, v4: int, v6: int, salt: str | None, ipv6: bool = False) -> Column:
+    """A map<string,string> with its address values (keys that end in ip) truncated, and its user names hashed if there is a salt."""
+    def value(k: Column, v: Column) -> Column:
+        out = F.when(F.lower(k).endswith("ip"), F.coalesce(mask_ipv4(v, v4), v)).otherwise(v)
+        return F.when(F.lower(k).isin(*USER_KEYS), hash_user(v, salt)).otherwise(out) if salt else out
+
+    return F.transform_values(m, value)
