@@ -80,9 +80,9 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 40, seed: int = 7,
     places = places.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "position", "shard", "slot")
     places = places.withColumn("_k", F.row_number().over(w)).drop("position")
     t = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.drop("shard", "slot").withColumns({"_id": F.col(id_col), "_size": F.octet_length(t).cast("long") + 16, "_crc": F.crc32(t.cast("binary")).cast("long")})
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("_row"), F.col(id_col).alias("_id"), (F.octet_length(t).cast("long") + 16).alias("_size"), F.crc32(t.cast("binary")).cast("long").alias("_crc"))
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))))
     on = rows["_id"].eqNullSafe(places["_id"]) & (rows["_size"] == places["_size"]) & (rows["_crc"] == places["_crc"]) & (rows["_k"] == places["_k"])
-    out = rows.join(places, on).select(*[rows[c] for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
+    out = rows.join(places, on).select("_row.*", "shard", "slot")
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.parquet(path)
