@@ -22,7 +22,7 @@ from logloom.llm.common import chunks
 #: Blocks of 8 x 8 a row, the most rows of a frame, frames a second.
 ACROSS, DOWN, FPS = 8, 8, 25
 #: Bins of a luma histogram; neighbours on either side, deviations and least difference of the adaptive threshold.
-BINS, REACH, DEVIATIONS, LEAST = 32, 5, 2.5, 0.2
+BINS, REACH, DEVIATIONS, LEAST = 32, 5, 2.0, 0.2
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 _DCT = np.array([[np.sqrt((1 if k == 0 else 2) / 8) * np.cos((2 * x + 1) * k * np.pi / 16) for x in range(8)] for k in range(8)])
 
