@@ -39,7 +39,7 @@ class Drain:
 
     def _leaf(self, tokens: list[str], grow: bool) -> list[int] | None:
         node = self.tree.setdefault(len(tokens), {}) if grow else self.tree.get(len(tokens))
-        for token in tokens[: self.depth - 2]:
+        for token in tokens[: self.depth - 3]:
             if node is None:
                 return None
             key = WILDCARD if re.search(r"\d", token) else token
