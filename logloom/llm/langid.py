@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import chunks, mix64
+from logloom.llm.common import chunks, lean, mix64
 from logloom.llm.sampling import by_class, fold
 
 #: Labelled rows that are learned from (about), shared evenly by the languages; length of the n-grams; discount.
@@ -22,6 +22,8 @@ KEPT = 1 << 19
 MARGIN, UNIFORM = 1.25, 0.85
 #: Shorter texts are not rejected: their cross-entropy says too little.
 LEAST_LETTERS = 40
+#: Learned texts that are counted at once.
+PART = 50
 #: Steepness of the score in nats a character.
 STEEPNESS = 12.0
 
@@ -56,29 +58,54 @@ def grams(cp: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return mix64(h)
 
 
+def hashed(rows: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams, a row of symbols each."""
+    h = np.full(len(rows), rows.shape[1], np.uint64)
+    for column in rows.T:
+        h = (h + column) * _MULTIPLIER
+    return mix64(h)
+
+
+def _merged(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows and the sums of their counts."""
+    if not rows.shape[1]:
+        return rows[:1], counts[:1]
+    _, at, inverse = np.unique(hashed(rows), return_index=True, return_inverse=True)
+    return rows[at], np.bincount(inverse, counts, len(at)).astype(np.int64)
+
+
+def _counted(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of that length in the texts, spaces before each text's beginning, and how often they occur."""
+    cp, first, _ = symbols(texts)
+    own = np.zeros(len(cp), np.int64)
+    own[first] = first
+    place = np.arange(len(cp)) - np.maximum.accumulate(own)
+    rows = np.full((len(cp), order), 32, np.uint64)
+    for back in range(order):
+        inside = place >= back
+        rows[inside, order - 1 - back] = cp[np.flatnonzero(inside) - back]
+    return _merged(rows, np.ones(len(cp), np.int64))
+
+
 class KneserNey:
     """One language's model. By length k: sorted hashes of k-grams with their discounted shares, and of contexts with their weights for shorter ones."""
 
     def __init__(self, texts: list[str], order: int = ORDER, discount: float = DISCOUNT):
         self.order = order
-        cp, first, _ = symbols(texts)
-        of = [None, *(grams(cp, first, k) for k in range(1, order + 1))]
-        context = [None, np.zeros(len(cp), np.uint64)]
-        for k in range(2, order + 1):  # the k - 1 symbols before each
-            shifted = np.concatenate((np.full(1, 32, np.uint64), cp[:-1]))
-            shifted[first] = 32
-            context.append(grams(shifted, first, k - 1))
+        parts = [_counted(texts[i : i + PART], order) for i in range(0, len(texts), PART)]
+        grams, counts = _merged(np.concatenate([g for g, _ in parts]) if parts else np.zeros((0, order), np.uint64), np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64))
         self.shares: list[tuple[np.ndarray, np.ndarray]] = []
         self.weights: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in range(1, order + 1):
+        for k in range(order, 0, -1):
             # the longest grams are counted as they occur, shorter ones by the different symbols before them
-            at = np.arange(len(cp)) if k == order else np.unique(of[k + 1], return_index=True)[1]
-            gram, where, count = np.unique(of[k][at], return_index=True, return_counts=True)
-            own = context[k][at][where]
-            ctx, inverse = np.unique(own, return_inverse=True)
-            total, kinds = np.bincount(inverse, count, len(ctx)), np.bincount(inverse, minlength=len(ctx))
-            self.shares.append((gram, np.maximum(count - discount, 0) / total[inverse]))
-            self.weights.append((ctx, discount * kinds / total))
+            context = hashed(grams[:, :-1]) if k > 1 else np.zeros(len(grams), np.uint64)
+            ctx, inverse = np.unique(context, return_inverse=True)
+            total, kinds = np.bincount(inverse, counts, len(ctx)), np.bincount(inverse, minlength=len(ctx))
+            gram = hashed(grams)
+            place = np.argsort(gram)
+            self.shares.insert(0, (gram[place], (np.maximum(counts - discount, 0) / total[inverse])[place]))
+            self.weights.insert(0, (ctx, discount * kinds / total))
+            grams, counts = _merged(grams[:, 1:], np.ones(len(grams), np.int64))
         self.symbols = max(1, len(self.shares[0][0])) + 1
 
     @staticmethod
@@ -105,7 +132,7 @@ class LanguageModels:
         self.models = [KneserNey(sample[x], order) for x in self.languages]
         self.bound = np.inf
         self._reset()
-        own = [e.min(axis=1)[n >= LEAST_LETTERS].max(initial=0) for x in self.languages for e, n in [self.cross_entropy(sample[x])]]
+        own = [e.min(axis=1)[n >= LEAST_LETTERS].max(initial=0) for x in self.languages for i in range(0, len(sample[x]), PART) for e, n in [self.cross_entropy(sample[x][i : i + PART])]]
         self.bound = max(MARGIN * max(own, default=np.inf), UNIFORM * np.log(max((m.symbols for m in self.models), default=2)))
         self._reset()
 
@@ -130,8 +157,8 @@ class LanguageModels:
             # the symbols before each place, from the last one
             start = first[np.searchsorted(first, where, side="right") - 1]
             past = np.stack([np.where(where - b >= start, cp[np.maximum(where - b, 0)], np.uint64(32)) for b in range(self.order)])
-            of = [self._hash(past[: k + 1]) for k in range(self.order)]
-            context = [np.zeros(len(where), np.uint64), *[self._hash(past[1 : k + 1]) for k in range(1, self.order)]]
+            of = [hashed(past[k::-1].T) for k in range(self.order)]
+            context = [np.zeros(len(where), np.uint64), *[hashed(past[k:0:-1].T) for k in range(1, self.order)]]
             logs = np.stack([m.log_probability(of, context) for m in self.models], axis=1)
             known = np.concatenate((self.known, distinct[new]))
             order = np.argsort(known)
@@ -142,13 +169,6 @@ class LanguageModels:
         total = np.stack([np.add.reduceat(rows[:, j][code], first) for j in range(len(self.models))], axis=1)
         return -total / length[:, None], letters
 
-    @staticmethod
-    def _hash(past: np.ndarray) -> np.ndarray:
-        h = np.full(past.shape[1], len(past), np.uint64)
-        for row in past[::-1]:
-            h = (h + row) * _MULTIPLIER
-        return mix64(h)
-
     def predict(self, texts: list[str]) -> list[tuple[str, float, bool, float]]:
         """(language, score, rejected, cross-entropy) of each text; und, 0, rejected for texts without letters."""
         if not texts:
@@ -190,14 +210,16 @@ def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "_text"):
-                found = shared.value.predict(part.column(0).to_pylist())
-                kept = [part.column(i) for i in range(1, part.num_columns)]
+                found = shared.value.predict([t or "" for t in part.column(0).to_pylist()])
+                kept = [part.column(i) for i in (*range(1, part.num_columns), *([0] if text_col in carry else []))]
                 columns = [kept[0], *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.bool_(), pa.float64()), strict=True)), *kept[1:]]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "rejected", "cross_entropy", *(f"_c{i}" for i in range(len(carry)))])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "rejected", "cross_entropy", *(f"_c{i}" for i in places)])
 
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
-    kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, lang_pred string, score double, rejected boolean, cross_entropy double" + "".join(f", _c{i} {kinds[f'_c{i}']}" for i in range(len(carry))))
+    # the text passes to Python and back once, though it may be a carried column too
+    places = [*(i for i, c in enumerate(carry) if c != text_col), *(i for i, c in enumerate(carry) if c == text_col)]
+    rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(carry[i]).alias(f"_c{i}") for i in places if carry[i] != text_col])
+    kinds = dict(rows.dtypes) | {f"_c{i}": "string" for i, c in enumerate(carry) if c == text_col}
+    out = rows.mapInArrow(lean(run), f"doc_id {kinds['doc_id']}, lang_pred string, score double, rejected boolean, cross_entropy double" + "".join(f", _c{i} {kinds[f'_c{i}']}" for i in places))
     return out.select("doc_id", "lang_pred", "score", "rejected", "cross_entropy", *([F.struct(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]).alias("row")] if carry else []))
 
 

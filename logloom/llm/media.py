@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import chunks
+from logloom.llm.common import chunks, lean
 
 #: Blocks of 8 x 8 a row, the most rows of a frame, frames a second.
 ACROSS, DOWN, FPS = 8, 8, 25
@@ -291,7 +291,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<first_frame:int,last_frame:int,start_s:double,end_s:double,mean_luma:int>>"
-    return rows.mapInArrow(run, schema + ", media binary" * keep_media)
+    return rows.mapInArrow(lean(run), schema + ", media binary" * keep_media)
 
 
 def clip_rows(features: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import chunks, membership_filter, mix64, probe, staged, word_hashes
+from logloom.llm.common import chunks, lean, membership_filter, mix64, probe, staged, word_hashes
 
 #: Words of a shingle, and the least similarity in per cent.
 WORDS, PERCENT = 5, 75
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, hasher: MinMax) -> D
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(node, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], names=["doc_id", "n_shingles", "node", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, node binary, bands array<long>")
+    return rows.mapInArrow(lean(sign), "doc_id long, n_shingles long, node binary, bands array<long>")
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def sets_of(rows: DataFrame) -> DataFrame:
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array([bitmap(x) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles", "bits"])
 
-    return rows.select("_text").mapInArrow(build, "node binary, shingles array<long>, bits array<long>")
+    return rows.select("_text").mapInArrow(lean(build), "node binary, shingles array<long>, bits array<long>")
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import chunks, word_hashes
+from logloom.llm.common import chunks, lean, word_hashes
 from logloom.llm.sampling import fold, labelled
 
 #: Labelled rows of each class that are learned from (about), dimensions, neighbours, and the power of a similarity that is its weight.
@@ -79,7 +79,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (at, values)]], names=["label", "at", "value"])
 
     sample = labelled(docs, labels, "quality", folds, held, per_class, id_col, text_col)
-    rows = sample.select("_label", F.col("_text").cast("binary")).mapInArrow(sparse, "label int, at array<int>, value array<float>").collect()
+    rows = sample.select("_label", F.col("_text").cast("binary")).mapInArrow(lean(sparse), "label int, at array<int>, value array<float>").collect()
     rows.sort(key=lambda r: (r[0], len(r[1]), r[2]))  # the same order whatever the tasks' order
     x = np.zeros((len(rows), FEATURES), np.float32)
     for out, r in zip(x, rows, strict=True):
@@ -98,15 +98,17 @@ def score_quality(docs: DataFrame, model: Neighbours, threshold: float = 0.3, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "_text"):
-                texts = part.column(0).to_pylist()
+                texts = [t.encode() if t else b"" for t in part.column(0).to_pylist()]
                 score = np.concatenate([shared.value.score(features(texts[i : i + 256])) for i in range(0, len(texts), 256)])
                 score = np.clip(np.round(score, 6), 0, 1)
-                kept = [part.column(i) for i in range(1, part.num_columns)]
-                yield pa.RecordBatch.from_arrays([kept[0], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), *kept[1:]], names=["doc_id", "score", "predicted", *(f"_c{i}" for i in range(len(carry)))])
-
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
-    kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, score double, predicted int" + "".join(f", _c{i} {kinds[f'_c{i}']}" for i in range(len(carry))))
+                kept = [part.column(i) for i in (*range(1, part.num_columns), *([0] if text_col in carry else []))]
+                yield pa.RecordBatch.from_arrays([kept[0], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), *kept[1:]], names=["doc_id", "score", "predicted", *(f"_c{i}" for i in places)])
+
+    # the text passes to Python and back once, though it may be a carried column too
+    places = [*(i for i, c in enumerate(carry) if c != text_col), *(i for i, c in enumerate(carry) if c == text_col)]
+    rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *[F.col(carry[i]).alias(f"_c{i}") for i in places if carry[i] != text_col])
+    kinds = dict(rows.dtypes) | {f"_c{i}": "string" for i, c in enumerate(carry) if c == text_col}
+    out = rows.mapInArrow(lean(run), f"doc_id {kinds['doc_id']}, score double, predicted int" + "".join(f", _c{i} {kinds[f'_c{i}']}" for i in places))
     return out.select("doc_id", "score", "predicted", *([F.struct(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)]).alias("row")] if carry else []))
 
 

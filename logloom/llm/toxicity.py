@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import chunks
+from logloom.llm.common import chunks, lean
 from logloom.llm.sampling import fold, labelled
 
 #: Labelled rows of each class that are learned from (about), neighbours, and examples of an index block.
@@ -178,7 +178,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.string()))], names=["doc_id", "score", "predicted", "examples", "terms"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int, examples array<long>, terms array<string>")
+    return rows.mapInArrow(lean(run), "doc_id long, score double, predicted int, examples array<long>, terms array<string>")
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = 0.5) -> DataFrame:
