@@ -1,4 +1,4 @@
-"""Command line: run, query, export, learn, verify, activate, monitor, trace, verify-store, bench, parsers, version."""
+"""Command line: run, query, export, learn, verify, activate, monitor, trace, verify-event, verify-store, serve, bench, parsers, version."""
 
 from __future__ import annotations
 
@@ -73,10 +73,13 @@ def verify(args, spark) -> dict:
     from logloom.operators.verify import transition
     from logloom.operators.verify import verify as check
 
+    from logloom.operators.reports import verification_report
+
     cases = spark.read.schema("raw string, expected_template_id string, required_fields array<string>").json(args.cases).na.fill("").selectExpr("raw", "nullif(expected_template_id, '') expected_template_id", "coalesce(required_fields, array()) required_fields")
     definition = _parser(args.parser)
     report = check(cases, definition)
     Path(args.report).write_text(json.dumps(report, sort_keys=True, indent=2), encoding="utf-8")
+    verification_report(report, Path(args.report).parent)
     if report["valid"]:
         _save(args.parser, transition(definition, "verified", reference=args.report))
     return report
@@ -92,14 +95,18 @@ def activate(args, spark) -> dict:
 def monitor(args, spark) -> dict:
     from pyspark.sql import functions as F
 
-    from logloom.operators.monitor import report, unmatched
+    from logloom.operators.monitor import batch_digest, report, unmatched
+    from logloom.operators.reports import check_bounds, monitor_report
     from logloom.operators.verify import transition
     from logloom.plans.learn import learn as draft
     from logloom.sources.lines import byte_lines
 
     definition = _parser(args.parser)
     lines = spark.read.format("binaryFile").load(args.file).select(F.posexplode(byte_lines(F.decode("content", "UTF-8"))).alias("line_no", "line"))
+    check_bounds(lines, "monitor")
     out = report(lines, [definition], definition["name"], args.min_coverage, args.min_confidence).first().asDict()
+    if args.out:
+        monitor_report(out, definition["name"], batch_digest(lines, "line_no").first()[0], args.out)
     if out["drifting"]:
         rest = [r["line"] for r in unmatched(lines, [definition], definition["name"], "line_no").collect()]
         if rest and args.out:
@@ -115,6 +122,39 @@ def trace(args, spark) -> list:
     return [r.asDict(True) for r in trace_event(spark.read.parquet(_store(args, "events")), spark.read.parquet(_store(args, "raw")), args.event_id).collect()]
 
 
+def verify_event(args, spark) -> dict:
+    """An envelope as JSON: its constraints, its digest, and with --store the raw line that it came from."""
+    from pyspark.sql import functions as F
+
+    from logloom.operators.ingest import valid
+    from logloom.operators.store import read_record
+
+    schema = "event_id string, ingest_time string, source struct<id:string,file:string,byte_offset:bigint,line_no:bigint>, raw string, raw_sha256 string, parser struct<name:string,version:bigint,confidence:double>, event struct<time:string,class_uid:bigint,class_name:string,action:string>"
+    row = spark.read.schema(schema).json(args.event).select("*", valid().alias("valid"), (F.sha2(F.col("raw").cast("binary"), 256) == F.col("raw_sha256")).alias("same")).first()
+    errors = [] if row and row["valid"] else ["envelope breaks a constraint"]
+    if row and not row["same"]:
+        errors.append("raw SHA-256 mismatch")
+    if row and args.store:
+        try:
+            if read_record(spark, args.store, row["source"]["id"], row["source"]["byte_offset"]) != row["raw"].encode():
+                errors.append("raw store differs")
+        except (KeyError, ValueError) as e:
+            errors.append(str(e))
+    return {"valid": not errors, "errors": errors}
+
+
+def serve(args, spark) -> dict:
+    from logloom.server import Service
+    from logloom.server import serve as make
+
+    server = make(Service(spark, Path(args.data).absolute(), args.parsers), args.host, args.port)
+    try:
+        server.serve_forever()
+    finally:
+        server.server_close()
+    return {"stopped": True}
+
+
 def verify_store(args, spark) -> dict:
     from logloom.operators.lineage import orphans
     from logloom.operators.lineage import verify_store as faults
@@ -151,7 +191,7 @@ def main(argv: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     options = {
         run: [("file",), ("--mask-ips",), ("--hash-users",), ("--salt", "")], query: [("sql",)], export: [("file",), ("out",), ("--form", "ndjson")], learn: [("file",), ("name",), ("out",)], verify: [("parser",), ("cases",), ("report",)],
-        activate: [("parser",), ("report",)], monitor: [("parser",), ("file",), ("--out", ""), ("--min-coverage", 0.9), ("--min-confidence", 0.8)], trace: [("event_id",)], verify_store: [], bench: [("--n", 100_000), ("--form", "fortigate")], parsers: [],
+        activate: [("parser",), ("report",)], monitor: [("parser",), ("file",), ("--out", ""), ("--min-coverage", 0.9), ("--min-confidence", 0.8)], trace: [("event_id",)], verify_event: [("event",), ("--store", "")], verify_store: [], serve: [("--host", "127.0.0.1"), ("--port", 8000)], bench: [("--n", 100_000), ("--form", "fortigate")], parsers: [],
     }
     for f, found in options.items():
         s = sub.add_parser(f.__name__.replace("_", "-"))

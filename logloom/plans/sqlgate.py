@@ -61,4 +61,4 @@ def recent(events: DataFrame, n: int = 100) -> DataFrame:
         raise ValueError("n must be from 1 to 1000")
     from pyspark.sql import functions as F
 
-    return events.orderBy(F.col("ingest_time").desc(), "event_id").limit(n).select("event_id", "ingest_time", "event_time", "class_name", "action", "src_ip", "dst_ip")
+    return events.orderBy(F.col("ingest_time").desc(), "event_id").limit(n).select("event_id", "ingest_time", "source_file", "parser_name", "parser_version", "event_json", "raw_sha256")

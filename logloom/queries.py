@@ -355,7 +355,7 @@ def convert_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", error.alias("int_error"), value.alias("int_value"), ip.alias("ip_error"))
 
 
-@query(_INGESTED_SQL + " SELECT id AS event_id, '2026-09-30T12:00:00Z' AS ingest_time, event_time, 'Network Activity' AS class_name, g.action AS action, g.src_ip AS src_ip, g.dst_ip AS dst_ip FROM j ORDER BY id LIMIT 100")
+@query(_INGESTED_SQL + " SELECT id AS event_id, '2026-09-30T12:00:00Z' AS ingest_time, event_type AS source_file, 'fortigate_kv' AS parser_name, 1::BIGINT AS parser_version, event_json, raw_sha256 FROM j ORDER BY id LIMIT 100")
 def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sqlgate.recent(ingested(spark, sf_dir).flat(), 100)
 

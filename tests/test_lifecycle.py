@@ -124,6 +124,12 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert call("run", f"file://{samples}", data=f"{data}2", parsers=parsers)[1]["events"] == 3
     assert call("monitor", draft, f"file://{log}", "--out", tmp_path)[1]["drifting"] and yaml.safe_load(draft.read_text())["state"] == "drifting"
     assert call("export", f"file://{log}", f"file://{tmp_path}/out", "--form", "cef")[1] == {"exported": 1}
+    assert len(list(tmp_path.glob("northstar-*-monitor.json"))) == 1 and (tmp_path / "northstar-v1-verification.html").exists()
+    assert call("export", f"file://{log}", f"file://{tmp_path}/nd")[1] == {"exported": 1}
+    event = next((tmp_path / "nd").glob("part-*"))
+    assert call("verify-event", f"file://{event}", "--store", f"{data}/raw")[1] == {"valid": True, "errors": []}
+    (tmp_path / "bad.json").write_text(event.read_text().replace("10.0.0.1", "10.0.0.2"))
+    assert call("verify-event", f"file://{tmp_path}/bad.json")[1]["errors"] == ["raw SHA-256 mismatch"]
     assert call("bench", "--n", 200)[1]["records"] == 200 and call("version")[1]["version"]
 
 
@@ -141,3 +147,45 @@ def test_as_of_and_range(spark):
     want = Counter((i, r) for i in range(20) for r, lo, hi in ((0, 2, 9), (1, 4.5, 4.5), (2, -3, 100)) if lo <= i * 1.5 < hi)
     assert Counter((r["id"], r["r"]) for r in range_join(points, ranges, "x", "lo", "hi", 4.0).collect()) == want
     assert qualify(left, F.row_number().over(Window.partitionBy("k").orderBy("s")), "_w = 1").count() == 2
+
+
+def test_server(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from logloom.server import Service, serve
+
+    server = serve(Service(spark, tmp_path, max_upload=2000), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+
+    def call(path, data=None, **headers):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + path, data, {k.replace("_", "-"): v for k, v in headers.items()}), timeout=120) as r:
+                return r.status, json.loads(r.read())
+        except urllib.error.HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        assert call("/health") == (200, {"status": "ok"}) and call("/events") == (200, []) and call("/nothing")[0] == 404
+        assert [p["name"] for p in call("/parsers")[1]] == ["asa_syslog", "cef_generic", "fortigate_kv", "json_generic"]
+        line = b'{"time":"2026-09-29T08:15:00Z","src_ip":"10.0.0.1","action":"deny"}\nnoise\n'
+        status, made = call("/ingest", line, Content_Type="text/plain", X_Filename="../../x y.log")
+        assert status == 200 and (made["records_seen"], made["events_written"], made["quarantined"]) == (2, 1, 1) and made["upload_file"].endswith("-upload.log")
+        assert call("/ingest", b"x" * 3000, Content_Type="text/plain")[0] == 413 and call("/ingest", line, Content_Type="text/html")[0] == 415 and call("/ingest", b"", Content_Type="text/plain")[0] == 400
+        assert call("/events?limit=0")[0] == 422 and len(call("/events?limit=5")[1]) == 1
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_bounds_and_names(spark):
+    from logloom.operators.reports import check_bounds, safe_name
+
+    df = spark.createDataFrame([("x" * 10,)] * 3, "line string")
+    assert check_bounds(df, "learn") == 3
+    for bad in (df.limit(0), spark.createDataFrame([("x" * 70_000,)], "line string")):
+        with pytest.raises(ValueError):
+            check_bounds(bad, "learn")
+    assert safe_name("a b/c") == "a_b_c" and safe_name("1x") == "parser_1x" and safe_name("") == "parser"
