@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import chunks
+from logloom.llm.common import chunks, lean
 
 VERSION = b"WARC/1.0\r\n"
 MEMBER = b"\x1f\x8b\x08"
 #: An empty gzip member. The text sink ends each row with it, which keeps a file of gzip members valid.
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + bytes(8)
+#: Bytes that a member is read by.
+PIECE = 1 << 14
 #: Longest header block that is searched for its end.
 MAX_HEADER = 1 << 16
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
@@ -77,6 +79,17 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict, int]:
     return row, end + 4
 
 
+def _member(data: memoryview, at: int) -> tuple[bytes, int]:
+    """What the gzip member at ``at`` holds, and its end. Fed in pieces, as zlib copies all that it is given beyond the end."""
+    z, out = zlib.decompressobj(31), []
+    while not z.eof:
+        if at >= len(data):
+            raise ValueError("gzip member without end")
+        out.append(z.decompress(data[at : at + PIECE]))
+        at = min(at + PIECE, len(data))
+    return b"".join(out), at - len(z.unused_data)
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """Rows (offset, length, record fields or gap_reason) that cover the archive, plain or of gzip members.
 
@@ -88,11 +101,8 @@ def salvage(data: bytes) -> Iterator[dict]:
         found: list[dict] = []
         try:
             if data.startswith(MEMBER, at):
-                z = zlib.decompressobj(31)
-                inner = z.decompress(view[at:])
-                if not z.eof:
-                    raise ValueError("gzip member without end")
-                end, pos = len(data) - len(z.unused_data), 0
+                inner, end = _member(view, at)
+                pos = 0
                 while pos < len(inner):
                     row, pos = _parse(inner, pos)
                     found.append(row)
@@ -116,7 +126,7 @@ def salvage(data: bytes) -> Iterator[dict]:
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_payload: int = 0, file_bytes: int = 16 << 20, gzip: bool = True) -> None:
-    """Writes a record per row into archives of about ``file_bytes`` of payload each under path, by any file system that Spark writes.
+    """Writes a record per row into archives of at most about ``file_bytes`` of payload each under path, by any file system that Spark writes.
 
     Of rows with equal payloads of at least ``min_payload`` bytes, those with the smallest id are responses, the others revisit
     it. A null body is an empty payload, a null url an empty target; rows with a null id revisit the smallest id, if any, else
@@ -126,7 +136,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), body.alias("body"))
     rows = rows.withColumn("sha1", F.sha1("body")).withColumn("key", F.xxhash64("id", "sha1"))
     total = rows.agg(F.sum(F.length("body"))).first()[0] or 0
-    files = max(1, -(-int(total) // file_bytes))
+    # as many partitions as a join has at least: with fewer, the join would deal the bodies anew
+    files = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // file_bytes))
     # the narrow side finds each payload's first record; then it meets the bodies, which are shuffled once, into the files' partitions
     narrow = rows.select("id", "sha1", "key", F.length("body").alias("size"))
     first = narrow.where(F.col("size") >= min_payload).groupBy("sha1").agg(F.min("id").alias("first"))
@@ -145,7 +156,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     between = EMPTY_MEMBER if gzip else b"\r\n\r\n"
-    typed.mapInArrow(build, "value binary").select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", between.decode("latin-1")).option("compression", "none").text(path)
+    typed.mapInArrow(lean(build), "value binary").select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", between.decode("latin-1")).option("compression", "none").text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -167,7 +178,7 @@ def read_warc(spark, path: str) -> DataFrame:
 
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     arrow = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in READ_SCHEMA.split(", "))])
-    return files.mapInArrow(parse, READ_SCHEMA)
+    return files.mapInArrow(lean(parse), READ_SCHEMA)
 
 
 def page_of(record_id: Column) -> Column:
