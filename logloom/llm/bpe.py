@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import chunks
+from logloom.llm.common import chunks, lean
 from logloom.llm.tokens import LED_LETTERS, WordEncoder, cut_before_spaces, plain_of, quiet
 
 
@@ -113,4 +113,4 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, types.get(k, pa.string())) for k, v in out.items()]], names=["doc_id", *out])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {kinds[k]}" for k in keep))
+    return rows.mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {kinds[k]}" for k in keep))

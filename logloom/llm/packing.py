@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import chunks, staged
+from logloom.llm.common import chunks, lean, staged
 from logloom.llm.tokens import LOWER_LETTERS, WordEncoder, cut_spaces, plain_of, quiet
 
 CAPACITY = 2048
@@ -56,7 +56,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids)
+    return rows.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -9,7 +9,7 @@ import struct
 from collections.abc import Callable
 
 #: Words that a worker keeps; beyond it the table starts anew.
-KEPT = 800_000
+KEPT = 400_000
 #: Longer words are encoded but not kept.
 KEPT_LENGTH = 64
 
@@ -37,17 +37,28 @@ class WordEncoder:
         table = self.table
         if len(table) > self.kept:
             table.clear()
-        new = {w for ws in cut for w in ws if w not in table}
+            table[""] = b""
+        words = [w for ws in cut for w in ws]
+        found = list(map(table.get, words))  # each word is looked up once; what is missing is filled in
+        places, at = [], -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                places.append(at)
+        except ValueError:
+            pass
+        new = {words[at] for at in places}
         odd = [w for w in new if not self.is_plain(w)]
         self._encode(self.full, odd)
         new.difference_update(odd)
         self._encode(self.plain, list(new))
-        get = table.__getitem__
-        out = [b"".join(map(get, ws)) for ws in cut]
-        for w in odd:
-            if len(w) > KEPT_LENGTH:
-                del table[w]
-        for w in [w for w in new if len(w) > KEPT_LENGTH]:
+        for at in places:
+            found[at] = table[words[at]]
+        out, at = [], 0
+        for ws in cut:
+            out.append(b"".join(found[at : at + len(ws)]))
+            at += len(ws)
+        for w in [w for w in (*odd, *new) if len(w) > KEPT_LENGTH]:
             del table[w]
         return out
 
@@ -65,30 +76,30 @@ def plain_of(definition: str):
     return Tokenizer.from_str(json.dumps(d | {"normalizer": None, "added_tokens": [], "pre_tokenizer": d["pre_tokenizer"]["pretokenizers"][-1]}))
 
 
-# Letters of Latin-1: each is its own normal form, and lower case takes each by itself.
-_STOP = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,](?:[ \n]|$))")
-_RISKY = re.compile(r"\s\s|[^\S \n]|\0")
+# Letters of Latin-1: each is its own normal form, and lower case takes each by itself. (The pattern begins with what is rare,
+# so that it is looked for quickly.) Signs between a letter and white space are a match by themselves.
+_STOP = re.compile("[!-/:-@[-`{-~](?<=[A-Za-zÀ-ÖØ-öø-ÿ][!-/:-@[-`{-~])[!-/:-@[-`{-~]*(?=[ \n]|\\Z)")
 _SAFE = re.compile(r"(?<=\S)(?=\s)")
 LOWER_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 LED_LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def cut_spaces(text: str) -> list[str]:
-    """For a tokenizer that lower-cases and drops white space: words between spaces and line feeds, and a full stop or comma after a letter by itself."""
+    """For a tokenizer that lower-cases and drops white space: words between spaces and line feeds, and signs after a letter by themselves."""
     try:
         text.encode("latin-1")
         text = text.lower()
     except UnicodeEncodeError:
         pass
-    return _STOP.sub(" ", text).replace("\n", " ").split(" ")
+    return _STOP.sub(r" \g<0>", text).replace("\n", " ").split(" ")
 
 
 def cut_before_spaces(text: str) -> list[str]:
     """For a byte-level pattern: pieces begin at white space after another character, as no match holds such a pair or looks across it.
 
-    Where all white space is single spaces and line feeds, a line feed is a match by itself, and so is a full stop or comma
-    between a letter and white space.
+    Where all white space is single spaces and line feeds, a line feed is a match by itself, and so are signs between
+    a letter and white space.
     """
-    if _RISKY.search(text):
+    if "\0" in text or len(text.replace("\n", " ").split(" ")) != len(text.split()):  # other white space, or several together
         return _SAFE.split(text)
-    return _STOP.sub("\0", text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    return _STOP.sub("\0\\g<0>", text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
