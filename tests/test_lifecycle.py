@@ -126,7 +126,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert call("export", f"file://{log}", f"file://{tmp_path}/out", "--form", "cef")[1] == {"exported": 1}
     assert len(list(tmp_path.glob("northstar-*-monitor.json"))) == 1 and (tmp_path / "northstar-v1-verification.html").exists()
     assert call("export", f"file://{log}", f"file://{tmp_path}/nd")[1] == {"exported": 1}
-    event = next((tmp_path / "nd").glob("part-*"))
+    event = max((tmp_path / "nd").glob("part-*"), key=lambda f: f.stat().st_size)
     assert call("verify-event", f"file://{event}", "--store", f"{data}/raw")[1] == {"valid": True, "errors": []}
     (tmp_path / "bad.json").write_text(event.read_text().replace("10.0.0.1", "10.0.0.2"))
     assert call("verify-event", f"file://{tmp_path}/bad.json")[1]["errors"] == ["raw SHA-256 mismatch"]
