@@ -83,6 +83,14 @@ def op10_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_feistel_sharding, op2_warc_salvage, op3_exact_dedup, op4_minmax_near_dedup, op5_histogram_packing, op6_neighbour_quality, op7_byte_bpe, op8_kneser_ney_langid, op9_neighbour_toxicity, op10_avi_media)}
 
 ORACLE = {
+    "op4_minmax_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS x FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(x) >= 5 THEN list_distinct(list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i + 4], ' '))) WHEN len(x) > 0 THEN [array_to_string(x, ' ')] ELSE [] END AS g FROM w),
+        u AS (SELECT doc_id, len(g) AS n, unnest(g) AS shingle FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.doc_id),
+        m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)""",
     "op2_warc_salvage": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM p)
