@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import chunks, lean, membership_filter, mix64, probe, staged, word_hashes
+from logloom.llm.common import chunks, lean, membership_filter, mix64, probe, staged, tidy, word_hashes
 
 #: Words of a shingle, and the least similarity in per cent.
 WORDS, PERCENT = 5, 75
@@ -135,6 +135,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.withColumn("_n", shared).where(100 * F.col("_n") >= percent * (F.size("_sa") + F.size("_sb") - F.col("_n"))).select("a", "b")
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u: then each v is the least node of its component."""
+    roles = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return roles.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b), root the least node of the component; by alternating large and small stars.
 
@@ -142,8 +148,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     node's neighbours have to meet in one task.
     """
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -151,10 +156,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
         e = staged(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        del both, least, large, small
+        tidy(edges.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -193,6 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = led.join(leaders, "leader").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     links = staged(confirmed(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")), sets, percent), "links")
     roots = connected_components(links)
+    tidy(docs.sparkSession)
 
     for turn in range(TURNS + 1):
         placed = members.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -204,6 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pivot = placed.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "root", "bits")).alias("p")).select("band", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("node", "n", "root", "bits")])
         pairs = placed.join(pivot, "band").where((F.col("root") != F.col("root_b")) & possible("n", "bits", "n_b", "bits_b", percent))
         more = staged(confirmed(pairs.select(F.col("node_b").alias("a"), F.col("node").alias("b")).distinct(), sets, percent), "links")
+        del pivot, pairs, several
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     major = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("_c")).groupBy("band").agg(F.max(F.struct("_c", "root")).alias("_m")).select("band", F.col("_m.root").alias("major"))
