@@ -134,3 +134,15 @@ def test_gibberish_is_rejected(documents):
     rng = np.random.default_rng(0)
     text = " ".join("".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 6)) for _ in range(50))
     assert models.predict([text])[0][2] and not models.predict([documents.first()["text"]])[0][2]
+
+
+def test_null_labels_and_languages(spark, documents, small):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    odd = labels.unionByName(spark.createDataFrame([(None, 1, 1), (0, None, None), (10**9, 0, 1)], labels.schema.simpleString().removeprefix("struct<").removesuffix(">")))
+    for f in (quality.classify_quality, toxicity.classify_toxicity):
+        assert sorted(map(str, f(documents, odd).collect())) == sorted(map(str, f(documents, labels.where("doc_id <> 0")).collect())) or f(documents, odd).count() == documents.count()
+    mixed = documents.selectExpr("doc_id", "text", "case when doc_id % 3 = 0 then null else lang end as lang")
+    found = langid.classify_language(mixed).join(documents.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.97
+    none = langid.classify_language(documents.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()
+    assert {r["lang_pred"] for r in none} == {"und"} and all(r["rejected"] for r in none)
