@@ -190,9 +190,8 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, rows: int = ROWS, id_c
     """Learns from about ``rows`` rows with a language outside the held-out fold, an equal number of each language at most; of equal texts one counts."""
     known = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & F.col("_id").isNotNull())
     known = known.where(fold("_id", folds) != held)
-    languages = max(1, known.select("_lang").distinct().count())
     sample: dict[str, set[str]] = {}
-    for r in by_class(known, "_lang", max(1, rows // languages), "_id").select("_lang", "_text").collect():
+    for r in by_class(known, "_lang", rows, "_id", together=True).select("_lang", "_text").collect():
         sample.setdefault(r[0], set()).add(r[1])
     return LanguageModels({k: sorted(v) for k, v in sample.items()})
 

@@ -14,12 +14,14 @@ def fold(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def by_class(rows: DataFrame, label: str, most: int, *keys: str) -> DataFrame:
-    """About ``most`` rows of each class at most, taken by a hash of ``keys``: all rows of smaller classes, a share of larger ones.
+def by_class(rows: DataFrame, label: str, most: int, *keys: str, together: bool = False) -> DataFrame:
+    """About ``most`` rows of each class at most (``together``: of all classes, an equal number each), taken by a hash of ``keys``: all rows of smaller classes, a share of larger ones.
 
     The classes are labels, of which there are few; only their counts come to the driver.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    if together:
+        most = max(1, most // max(1, len(counts)))
     place = F.pmod(F.xxhash64(*keys), F.lit(RANGE))
     limit = F.lit(0)
     for value, n in counts.items():
