@@ -50,13 +50,28 @@ def _result(definition: dict, template: dict, values: dict[str, tuple[Column, Co
     )
 
 
-def _by_regex(definition: dict, template: dict, line: Column) -> tuple[Column, Column]:
+def _matches(definition: dict, template: dict, line: Column) -> Column:
+    hit = line.rlike(to_java(template["regex"])[0])
+    return F.coalesce(hit & F.from_json(line, "map<string,string>").isNotNull() if definition["source_format"] == "json" else hit, F.lit(False))
+
+
+def _captures(template: dict, line: Column) -> Column:
+    """All captures by one run of the pattern: the whole line is replaced by them, with a separator between."""
+    pattern, _, numbers = to_java(template["regex"])
+    if optional_groups(template["regex"]):
+        return _captures_udf(template["regex"])(line)
+    whole = rf"(?d)\A(?s:.*?)(?:{pattern.removeprefix('(?d)')})(?s:.*)\z"
+    return F.split(F.regexp_replace(line, F.lit(whole), F.lit("\x01".join(f"${n}" for n in numbers))), "\x01", -1)
+
+
+def _by_regex(definition: dict, template: dict, line: Column) -> Column:
+    """The result from the captures in _parts; a capture that holds the separator is taken by itself."""
     pattern, names, numbers = to_java(template["regex"])
+    part = lambda i: F.get(F.col("_parts"), F.lit(i))
     if optional_groups(template["regex"]):
-        captured = _captures_udf(template["regex"])(line)
-        group = {n: F.get(captured, F.lit(i)) for i, n in enumerate(names)}
+        group = {n: part(i) for i, n in enumerate(names)}
     else:
-        group = {n: F.regexp_extract(line, pattern, i) for n, i in zip(names, numbers, strict=True)}
+        group = {n: F.when(F.size("_parts") == len(names), part(i)).otherwise(F.regexp_extract(line, pattern, k)) for i, (n, k) in enumerate(zip(names, numbers, strict=True))}
     values: dict[str, tuple[Column, Column]] = {}
     confidence = F.lit(1.0)
     mapped = set()
@@ -74,13 +89,11 @@ def _by_regex(definition: dict, template: dict, line: Column) -> tuple[Column, C
     pairs = [x for n in rest for x in (F.lit(n), group[n])]
     unmapped = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if rest else F.expr("map()").cast("map<string,string>")
     json = F.to_json(F.struct(*[group[n].alias(n) for n in rest])) if rest else F.lit("{}")
-    return line.rlike(pattern), _result(definition, template, values, unmapped, json)
+    return _result(definition, template, values, unmapped, json)
 
 
-def _by_json(definition: dict, template: dict, line: Column) -> tuple[Column, Column]:
-    pattern, _, _ = to_java(template["regex"])
-    texts = F.from_json(line, "map<string,string>")
-    typed = F.from_json(line, "map<string,variant>")
+def _by_json(definition: dict, template: dict, line: Column) -> Column:
+    texts, typed = F.col("_texts"), F.col("_typed")
     values: dict[str, tuple[Column, Column]] = {}
     confidence = F.lit(1.0)
     names = []
@@ -94,26 +107,28 @@ def _by_json(definition: dict, template: dict, line: Column) -> tuple[Column, Co
         names.append(f["name"])
     values["_confidence"] = confidence, F.lit(None).cast("string")
     rest = lambda k, _: ~k.isin(*names) if names else F.lit(True)
-    return line.rlike(pattern) & texts.isNotNull(), _result(definition, template, values, sorted_map(F.map_filter(texts, rest)), F.to_json(sorted_map(F.map_filter(typed, rest)), {"ignoreNullFields": "false"}))
+    return _result(definition, template, values, sorted_map(F.map_filter(texts, rest)), F.to_json(sorted_map(F.map_filter(typed, rest)), {"ignoreNullFields": "false"}))
 
 
-def templates(definitions: list[dict], line: Column) -> list[tuple[str, Column, Column]]:
-    """(template id, whether it matches the line, its result) in the order in which they are tried."""
-    out = []
-    for d in definitions:
-        for t in d["templates"]:
-            matches, result = (_by_json if d["source_format"] == "json" else _by_regex)(d, t, line)
-            out.append((t["id"], F.coalesce(matches, F.lit(False)), result))
-    return out
+def _first(cases: list[tuple[Column, Column]], other: Column) -> Column:
+    return reduce(lambda rest, x: F.when(x[0], x[1]).otherwise(rest), reversed(cases), other)
 
 
 def parse(df: DataFrame, definitions: list[dict], line: str = "line", into: str = "parsed") -> DataFrame:
-    """df with a struct column (PARSED), null where no template matches. A conversion that fails gives an error, no later template is tried."""
-    found = templates(definitions, trimmed(F.col(line)))
-    if not found:
+    """df with a struct column (PARSED), null where no template matches. A conversion that fails gives an error, no later template is tried.
+
+    A line is matched until the first pattern that fits, whose captures are then taken by one more run.
+    """
+    tried = [(i, d, t) for i, (d, t) in enumerate((d, t) for d in definitions for t in d["templates"])]
+    if not tried:
         return df.withColumn(into, F.lit(None).cast(PARSED))
-    chain = reduce(lambda rest, m: F.when(m[1], m[2].cast(PARSED)).otherwise(rest), reversed(found), F.lit(None).cast(PARSED))
-    return once(df, {into: chain})
+    text, hit = trimmed(F.col(line)), F.col("_hit")
+    regex, json = [x for x in tried if x[1]["source_format"] != "json"], [x for x in tried if x[1]["source_format"] == "json"]
+    out = once(df, {"_hit": _first([(_matches(d, t, text), F.lit(i)) for i, d, t in tried], F.lit(None).cast("int"))})
+    is_json = hit.isin(*[i for i, _, _ in json]) if json else F.lit(False)
+    out = once(out, {"_parts": _first([(hit == i, _captures(t, text)) for i, _, t in regex], F.lit(None).cast("array<string>")), "_texts": F.when(is_json, F.from_json(text, "map<string,string>")), "_typed": F.when(is_json, F.from_json(text, "map<string,variant>"))})
+    results = [(hit == i, (_by_json if d["source_format"] == "json" else _by_regex)(d, t, text).cast(PARSED)) for i, d, t in tried]
+    return once(out, {into: _first(results, F.lit(None).cast(PARSED))}).drop("_hit", "_parts", "_texts", "_typed")
 
 
 def match_count(definitions: list[dict], line: Column) -> Column:
