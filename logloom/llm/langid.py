@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,11 @@ from logloom.llm.sampling import by_class, fold
 ROWS, ORDER, DISCOUNT = 3000, 4, 0.75
 #: n-grams whose probabilities a worker keeps.
 KEPT = 1 << 19
-#: Rejection: a text is none of the languages if its cross-entropy exceeds the greatest that a learned text had by the first factor,
-#: and the one of equally likely symbols by the second.
-MARGIN, UNIFORM = 1.25, 0.85
-#: Shorter texts are not rejected: their cross-entropy says too little.
-LEAST_LETTERS = 40
+#: Rejection is calibrated on labelled texts by models that learned the other parts: of so many parts each is left out once.
+PARTS = 4
+#: A text is none of the languages if its cross-entropy exceeds its language's median by more than this quantile of what calibration texts
+#: exceed it by, and by the margin (nats). Excesses are compared in units that grow with sqrt(1 + SHORT / letters), as short texts vary more.
+QUANTILE, MARGIN, SHORT = 0.99, 0.2, 200
 #: Learned texts that are counted at once.
 PART = 50
 #: Steepness of the score in nats a character.
@@ -125,16 +126,38 @@ class KneserNey:
 
 
 class LanguageModels:
-    """The models, a bound on the cross-entropy beyond which a text is none of the languages, and the lookups of a worker so far."""
+    """The models, for each language a bound on the cross-entropy beyond which a text is none of the languages, and the lookups of a worker so far."""
 
-    def __init__(self, sample: dict[str, list[str]], order: int = ORDER):
+    def __init__(self, sample: dict[str, list[str]], order: int = ORDER, calibrated: bool = True):
         self.order, self.languages = order, sorted(sample)
         self.models = [KneserNey(sample[x], order) for x in self.languages]
-        self.bound = np.inf
-        self._reset()
-        own = [e.min(axis=1)[n >= LEAST_LETTERS].max(initial=0) for x in self.languages for i in range(0, len(sample[x]), PART) for e, n in [self.cross_entropy(sample[x][i : i + PART])]]
-        self.bound = max(MARGIN * max(own, default=np.inf), UNIFORM * np.log(max((m.symbols for m in self.models), default=2)))
+        self.centre, self.width = np.zeros(len(self.models)), np.full(len(self.models), np.inf)
         self._reset()
+        if calibrated:
+            self._calibrate(sample)
+
+    def _calibrate(self, sample: dict[str, list[str]]) -> None:
+        """Bounds from the cross-entropies that texts have by models that did not learn them; a language without such texts has none."""
+        found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {x: [] for x in self.languages}
+        # texts that begin alike are in one part, so that copies with few changes are not learned
+        part = {x: [zlib.crc32(t[:40].encode("utf-8", "surrogatepass")) % PARTS for t in sample[x]] for x in self.languages}
+        for k in range(PARTS):
+            rest = {x: [t for t, p in zip(sample[x], part[x], strict=True) if p != k] for x in self.languages}
+            models = LanguageModels({x: t for x, t in rest.items() if t}, self.order, calibrated=False)
+            for x in self.languages if models.models else []:
+                left = [t for t, p in zip(sample[x], part[x], strict=True) if p == k]
+                for i in range(0, len(left), PART):
+                    entropy, letters = models.cross_entropy(left[i : i + PART])
+                    found[x].append((entropy.min(axis=1)[letters > 0], letters[letters > 0]))
+        for j, x in enumerate(self.languages):
+            if sum(len(e) for e, _ in found[x]):
+                entropy, letters = (np.concatenate(c) for c in zip(*found[x], strict=True))
+                self.centre[j] = np.median(entropy)
+                self.width[j] = max(0.0, np.quantile((entropy - self.centre[j]) / np.sqrt(1 + SHORT / letters), QUANTILE))
+
+    def bound(self, language: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The greatest cross-entropies that are not rejected, of texts with so many letters whose nearest languages have these places."""
+        return self.centre[language] + (self.width[language] + MARGIN) * np.sqrt(1 + SHORT / np.maximum(letters, 1))
 
     def _reset(self) -> None:
         self.known, self.logs = np.zeros(0, np.uint64), np.zeros((0, len(self.models)))
@@ -180,8 +203,8 @@ class LanguageModels:
         least = entropy[np.arange(len(texts)), best]
         share = 1 / np.exp(-STEEPNESS * (entropy - least[:, None])).sum(axis=1)
         out = []
-        for b, e, s, n in zip(best, least, share, letters, strict=True):
-            rejected = n >= LEAST_LETTERS and e > self.bound
+        for b, e, s, n, most in zip(best, least, share, letters, self.bound(best, letters), strict=True):
+            rejected = e > most
             out.append((self.languages[b], float(s) * (0.5 if rejected else 1.0), bool(rejected), float(e)) if n else ("und", 0.0, True, 0.0))
         return out
 
@@ -200,8 +223,9 @@ def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", te
     """One row per row of docs: (doc_id, lang_pred, score, rejected, cross_entropy), then, if any are named, the columns of ``carry`` in a struct row.
 
     The language is the one of least cross-entropy a character over the whole text. und, score 0 and rejected: texts that are
-    null, empty or without letters, or any text if nothing was learned. Rejected with a language: a cross-entropy far above all
-    learned texts'. Ties go to the first language by name; repeated rows are alike; an empty table gives no rows; other columns
+    null, empty or without letters, or any text if nothing was learned. Rejected with a language: a cross-entropy above the bound
+    that was calibrated for that language on labelled texts that its models had not learned, wider for shorter texts; none is so
+    rejected where no such text is left. Ties go to the first language by name; repeated rows are alike; an empty table gives no rows; other columns
     are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)

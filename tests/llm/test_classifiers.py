@@ -146,3 +146,15 @@ def test_null_labels_and_languages(spark, documents, small):
     assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.97
     none = langid.classify_language(documents.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()
     assert {r["lang_pred"] for r in none} == {"und"} and all(r["rejected"] for r in none)
+
+
+@pytest.mark.parametrize("out", ["de", "en", "es", "fr"])
+def test_an_unlearned_language_is_rejected(spark, out):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    models = langid.train(docs.where(docs.lang != out))
+    rows = [r for r in docs.select("doc_id", "lang", "text").collect() if _held(r["doc_id"], 4, 2)]
+    found = [(r["lang"] == out, p[2]) for r, p in zip(rows, models.predict([r["text"] or "" for r in rows]), strict=True)]
+    assert np.mean([x for foreign, x in found if foreign]) > 0.95
+    assert np.mean([x for foreign, x in found if not foreign]) < 0.005
+    # without letters that it has learned, a text of few letters is rejected too
+    assert models.predict(["漢字仮名交文章記述言語文字列表"])[0][2]
