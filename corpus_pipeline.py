@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import scratch
+from logloom.llm.common import scratch, text_or_empty
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,20 +23,29 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return score_quality(docs, train(docs, labels), carry=tuple(docs.columns)).where("predicted = 1").select("row.*")
 
 
+def _staying(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs that a row of kept (doc_id, digest) stands for. What is kept depends on a row's id, null or not, and its text alone."""
+    from logloom.llm.exact_dedup import SHA256
+
+    rows = docs.select(F.col("doc_id").alias("_id"), SHA256(text_or_empty()).alias("_digest"), F.struct("*").alias("row"))
+    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
+    return rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi").select("row.*")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest doc_id stays."""
+    """Of documents with equal texts the one with the largest doc_id stays. One without an id stays if no equal text has an id. Rows repeated with the id that stays all do."""
     from logloom.llm.exact_dedup import exact_dedup
 
-    kept = exact_dedup(docs, keep="largest").where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _staying(docs, exact_dedup(docs, keep="largest").where("kept").select("doc_id", "digest"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id stays."""
+    """Of each component of near-duplicates the document with the smallest doc_id stays. One without an id stays if its component has none. Rows with the id that stays all do."""
+    from logloom.llm.exact_dedup import SHA256
     from logloom.llm.minhash import near_duplicates
 
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    keyed = docs.select("doc_id", "text", SHA256(text_or_empty()).alias("digest"))
+    return _staying(docs, near_duplicates(keyed, carry=("digest",)).where("kept").select("doc_id", "digest"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,8 +77,9 @@ class MinMax:
         return key
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, hasher: MinMax) -> DataFrame:
-    """(doc_id, n_shingles, node, bands): node is a 128-bit digest of the set, null for an empty one."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, hasher: MinMax, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, node, bands, then the columns of carry as _c0 and so on): node is a 128-bit digest of the set, null for an empty one."""
+    carried = [f"_c{i}" for i in range(len(carry))]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,10 +90,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, hasher: MinMax) -> D
                 has = np.fromiter((len(x) > 0 for x in sets), bool, len(sets))
                 ends = np.concatenate(([0], np.cumsum(has * hasher.bands))).astype(np.int32)
                 node = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(node, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], names=["doc_id", "n_shingles", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(node, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())), *part.columns[2:]], names=["doc_id", "n_shingles", "node", "bands", *carried])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
-    return rows.mapInArrow(lean(sign), "doc_id long, n_shingles long, node binary, bands array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), *[F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)])
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(lean(sign), "doc_id long, n_shingles long, node binary, bands array<long>" + "".join(f", {n} {kinds[n]}" for n in carried))
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
@@ -161,8 +163,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, seed: int = 11) -> DataFrame:
-    """One row per row of docs: (doc_id, n_shingles, component_id, kept).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, seed: int = 11, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: (doc_id, n_shingles, component_id, kept), then the row's own columns of ``carry``.
 
     1. Signatures; rows with equal sets form a class, and only classes go on. 2. In every band bucket each class is paired with the
     bucket's least class, and the pairs are confirmed on whole sets: links in a group of similar texts grow with the group, not
@@ -177,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is null if nothing with an id is reachable. Repeated rows share a component and, with its least id, all count as kept. An
     empty table gives no rows; more columns are ignored.
     """
-    signed = staged(signatures(docs, id_col, text_col, MinMax(bands, rows, seed)), "signatures")
+    signed = staged(signatures(docs, id_col, text_col, MinMax(bands, rows, seed), carry), "signatures")
     classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = staged(classes, "classes")
     banded = classes.select("node", "rep", "n", F.explode("bands").alias("band"))
@@ -224,5 +226,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = classes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(least, "root").select("node", "component_id")
-    out = signed.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = signed.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *[f"_c{i}" for i in range(len(carry))])
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])

@@ -81,3 +81,19 @@ def test_stages_on_edges(spark, edges, nothing, small):
         out = stage(spark, edges, small)
         assert name == "packing" or {*out.columns} == {*edges.columns}
         assert out.count() > 0 and stage(spark, nothing, small).count() == 0
+
+
+def test_rows_that_stay(spark, edges, small):
+    stages = dict(corpus_pipeline.STAGES)
+    stay = lambda name, docs: Counter((r["doc_id"], r["text"]) for r in stages[name](spark, docs, small).collect())
+    every = [(r["doc_id"], r["text"]) for r in edges.collect()]
+    # the empty text of 2 equals the null one of 1; the row without an id stays
+    assert stay("exact_dedup", edges) == Counter((i, t) for i, t in every if i not in (1, 5, 7))
+    assert stay("near_dedup", edges) == Counter((i, t) for i, t in every if i not in (6, 8))
+    # one id on several texts, and no id on several texts: each row has its own decision
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a), (1, b), (None, b), (None, c), (2, d + " end"), (1, d), (None, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert stay("exact_dedup", docs) == Counter([(2, a), (1, b), (None, c), (2, d + " end"), (1, d)])
+    assert stay("near_dedup", docs) == Counter([(1, a), (1, b), (None, c), (1, d)])
+    assert None in {r["doc_id"] for r in stages["packing"](spark, docs, small).collect()}
