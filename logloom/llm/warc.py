@@ -20,8 +20,7 @@ MEMBER = b"\x1f\x8b\x08"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + bytes(8)
 #: Bytes that a member is read by.
 PIECE = 1 << 14
-#: Longest header block that is searched for its end.
-MAX_HEADER = 1 << 16
+_VERSION_LINE = re.compile(rb"WARC/\d\.\d\r\n")
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
 GAP = "gap_reason string"
 READ_SCHEMA = f"file string, offset long, length long, {RECORD}, {GAP}"
@@ -47,26 +46,27 @@ def gzip_member(data: bytes, level: int = 3) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _parse(data: bytes | memoryview, at: int) -> tuple[dict, int]:
-    """The record at ``at`` and its end; ValueError says which check failed."""
-    head = bytes(data[at : at + MAX_HEADER])
-    if not re.match(rb"WARC/\d\.\d\r\n", head):
+def _parse(data: bytes, at: int) -> tuple[dict, int]:
+    """The record at ``at`` and its end; ValueError says which check failed. The header may have any length; it is read up to its first bad line."""
+    if not (version := _VERSION_LINE.match(data, at)):
         raise ValueError("no version line")
-    stop = head.find(b"\r\n\r\n")
-    if stop < 0:
-        raise ValueError("header without end")
     fields: dict[str, str] = {}
-    for line in head[:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    begin = version.end()
+    while (stop := data.find(b"\r\n", begin)) != begin:
+        if stop < 0:
+            raise ValueError("header without end")
+        name, colon, value = data[begin:stop].partition(b":")
         if not colon:
             raise ValueError("header line without colon")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        begin = stop + 2
+    begin += 2
     if not re.fullmatch(r"\d{1,18}", length := fields.get("content-length", "")):
         raise ValueError("no content length")
-    begin, end = at + stop + 4, at + stop + 4 + int(length)
-    if end + 4 > len(data) or bytes(data[end : end + 4]) != b"\r\n\r\n":
+    end = begin + int(length)
+    if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("block does not end where its length says")
-    block = bytes(data[begin:end])
+    block = data[begin:end]
     for name, body in (("warc-block-digest", block), ("warc-payload-digest", block.partition(b"\r\n\r\n")[2] if "http" in fields.get("content-type", "") else block)):
         said = fields.get(name, "")
         if said.startswith("sha1:") and not (name == "warc-payload-digest" and fields.get("warc-type") == "revisit") and said[5:].upper() != base32(hashlib.sha1(body).digest()):
@@ -107,7 +107,7 @@ def salvage(data: bytes) -> Iterator[dict]:
                     row, pos = _parse(inner, pos)
                     found.append(row)
             else:
-                row, end = _parse(view, at)
+                row, end = _parse(data, at)
                 found.append(row)
         except (ValueError, zlib.error) as e:
             if gap is None:

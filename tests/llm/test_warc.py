@@ -115,3 +115,13 @@ def test_standard_gzip_reads_the_archive():
         out += z.decompress(data)
         data = z.unused_data
     assert out == _record(1) + _record(2)
+
+
+def test_a_header_of_any_length(spark, tmp_path):
+    long = "http://x/" + "u" * 100_000
+    pages = spark.createDataFrame([(1, long, "a"), (2, "u", "a"), (3, long + "é" * 60_000, "b")], "page_id long, url string, html string")
+    for n, gz in enumerate((True, False)):
+        assert _round(spark, pages, f"file://{tmp_path}/{n}", gzip=gz) == _expected([(1, "a"), (2, "a"), (3, "b")])
+    assert {r["target_uri"] for r in read_warc(spark, f"file://{tmp_path}/0").collect()} == {long, "u", long + "é" * 60_000}
+    cut = _record(1)[:-20] + b"WARC/1.0\r\nWARC-Target-URI: " + b"x" * 70_000
+    assert [r["gap_reason"] for r in salvage(cut + b"\r\n\r\n" + _record(2))][-1] is None
