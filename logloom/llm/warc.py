@@ -23,7 +23,7 @@ PIECE = 1 << 14
 _VERSION_LINE = re.compile(rb"WARC/\d\.\d\r\n")
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length long, payload binary"
 GAP = "gap_reason string"
-READ_SCHEMA = f"file string, offset long, length long, {RECORD}, {GAP}"
+READ_SCHEMA = f"file string, offset long, length long, inner_offset long, inner_length long, {RECORD}, {GAP}"
 
 
 def base32(data: bytes) -> str:
@@ -90,26 +90,86 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), at - len(z.unused_data)
 
 
+def _inflated(data: memoryview, at: int, enough: int | None = None) -> tuple[bytes, int]:
+    """What the damaged gzip member at ``at`` holds before its error, or the first ``enough`` bytes or some more; and the place up to which that took reading."""
+    z, out, size, step = zlib.decompressobj(31), [], 0, PIECE
+    while not z.eof and at < len(data) and (enough is None or size < enough):
+        before = z.copy() if step > 1 else None
+        try:
+            got = z.decompress(data[at : at + step])
+        except zlib.error:
+            got = None
+        if got is None or (enough is not None and size + len(got) >= enough):
+            # the last piece is read again byte by byte
+            if step > 1:
+                z, step = before, 1
+                continue
+            if got is None:
+                break
+        out.append(got)
+        size += len(got)
+        at = min(at + step, len(data))
+    return b"".join(out), at
+
+
+def _within(inner: bytes, whole: bool) -> Iterator[dict]:
+    """Rows (inner_offset, inner_length, record fields or gap_reason) that cover what a member holds. Where its inflation failed (not ``whole``), a record that nothing follows is not sound."""
+    at, gap, why = 0, None, ""
+    while at < len(inner):
+        try:
+            row, end = _parse(inner, at)
+            if end == len(inner) and not whole:
+                raise ValueError("record at the end of a damaged gzip member")
+        except ValueError as e:
+            if gap is None:
+                gap, why = at, str(e)
+            at = p if (p := inner.find(b"WARC/", at + 1)) >= 0 else len(inner)
+            continue
+        if gap is not None:
+            yield {"inner_offset": gap, "inner_length": at - gap, "gap_reason": why}
+            gap = None
+        yield {"inner_offset": at, "inner_length": end - at} | row
+        at = end
+    if gap is not None:
+        yield {"inner_offset": gap, "inner_length": len(inner) - gap, "gap_reason": why}
+
+
+def _read(data: bytes, view: memoryview, at: int) -> tuple[list[dict], int, str | None]:
+    """Rows from ``at``, the end of the bytes that they stand for, and, if these are the sound beginning of a damaged member, what is wrong behind it. ValueError if no record is sound."""
+    if not data.startswith(MEMBER, at):
+        row, end = _parse(data, at)
+        return [row], end, None
+    damage = None
+    try:
+        inner, end = _member(view, at)
+    except (ValueError, zlib.error) as e:
+        damage, (inner, end) = str(e), _inflated(view, at)
+    rows = list(_within(inner, damage is None))
+    sound = [i for i, r in enumerate(rows) if r["gap_reason"] is None]
+    if not sound and (rows or damage is not None):
+        raise ValueError(damage or rows[0]["gap_reason"])
+    if damage is not None:
+        rows = rows[: sound[-1] + 1]
+        end = _inflated(view, at, rows[-1]["inner_offset"] + rows[-1]["inner_length"])[1]
+    return rows, end, damage
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """Rows (offset, length, record fields or gap_reason) that cover the archive, plain or of gzip members.
 
     A record whose checks fail (version line, header, length, digests, gzip checksum) starts a gap; the reader searches byte by
     byte for the next member or version line whose record is sound and goes on there. Every byte is in one record or one gap.
+
+    A member may hold many records. Its rows have its offset and length, and inner_offset and inner_length in what it inflates to.
+    In there the search is for version lines: sound records beside failed ones are found, and what is between is an inner gap.
+    Where inflation fails, the records inflated before are rows for the member's bytes up to there, and a gap begins behind; but
+    the last record inflated is sound only if something follows it, as the failed gzip check may be its own.
     """
     view, at, gap, why = memoryview(data), 0, None, ""
     while at < len(data):
-        found: list[dict] = []
         try:
-            if data.startswith(MEMBER, at):
-                inner, end = _member(view, at)
-                pos = 0
-                while pos < len(inner):
-                    row, pos = _parse(inner, pos)
-                    found.append(row)
-            else:
-                row, end = _parse(data, at)
-                found.append(row)
-        except (ValueError, zlib.error) as e:
+            rows, end, damage = _read(data, view, at)
+        except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
             places = [p for p in (data.find(MEMBER, at + 1), data.find(b"WARC/", at + 1)) if p >= 0]
@@ -118,9 +178,13 @@ def salvage(data: bytes) -> Iterator[dict]:
         if gap is not None:
             yield {"offset": gap, "length": at - gap, "gap_reason": why}
             gap = None
-        for row in found:
+        for row in rows:
             yield {"offset": at, "length": end - at} | row
         at = end
+        if damage is not None:
+            gap, why = at, damage
+            places = [p for p in (data.find(MEMBER, at), data.find(b"WARC/", at)) if p >= 0]
+            at = min(places, default=len(data))
     if gap is not None:
         yield {"offset": gap, "length": len(data) - gap, "gap_reason": why}
 

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -125,3 +126,28 @@ def test_a_header_of_any_length(spark, tmp_path):
     assert {r["target_uri"] for r in read_warc(spark, f"file://{tmp_path}/0").collect()} == {long, "u", long + "é" * 60_000}
     cut = _record(1)[:-20] + b"WARC/1.0\r\nWARC-Target-URI: " + b"x" * 70_000
     assert [r["gap_reason"] for r in salvage(cut + b"\r\n\r\n" + _record(2))][-1] is None
+
+
+def test_a_member_of_many_records_loses_only_what_is_damaged(spark, tmp_path):
+    rng = random.Random(3)
+    records = [_record(i, rng.randbytes(3000)) for i in range(40)]
+    plain, at = bytearray(b"".join(records)), sum(map(len, records[:7]))
+    plain[at + len(records[7]) - 100] ^= 1
+    whole, other = gzip_member(bytes(plain)), gzip_member(_record(99))
+    names = [f"urn:page:{i}" for i in range(40)]
+    # a bad digest: the other records stay, the gap is inside the member
+    found = list(salvage(whole + other))
+    assert [r["record_id"] for r in found if "record_id" in r] == [*names[:7], *names[8:], "urn:page:99"]
+    assert [(r["offset"], r["length"], r["inner_offset"], r["inner_length"]) for r in found if r["gap_reason"]] == [(0, len(whole), at, len(records[7]))]
+    # an archive cut within a record, and damage within a member: what was inflated before stays, and so does the next member
+    for level in (0, 3):
+        sound = gzip_member(b"".join(records), level)
+        for data, least, last in ((sound[: len(sound) // 2], 18, []), (sound[: len(sound) // 2] + b"\xff" * 200 + other, 18, ["urn:page:99"])):
+            found = list(salvage(data))
+            ids = [r["record_id"] for r in found if "record_id" in r and r["record_id"] != "urn:page:99"]
+            assert ids[:least] == names[:least] and len(ids) == len({*ids}) and [r["record_id"] for r in found if r.get("record_id") == "urn:page:99"] == last
+            spans = sorted({(r["offset"], r["length"]) for r in found})
+            assert [a for a, _ in spans] == [0, *(a + n for a, n in spans[:-1])] and sum(spans[-1]) == len(data) and any(r["gap_reason"] for r in found)
+    (tmp_path / "one.warc.gz").write_bytes(whole)
+    rows = read_warc(spark, f"file://{tmp_path}/one.warc.gz").collect()
+    assert sum(r["record_id"] is not None for r in rows) == 39 and [r["inner_offset"] for r in rows if r["gap_reason"]] == [at]
