@@ -367,10 +367,9 @@ def gated_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def drain_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates of a bounded sample of lines, which learning is defined on: the first 2,000 by id."""
-    rows = [r["line"] for r in event_lines(spark, sf_dir).orderBy("event_id").limit(2000).collect()]
-    made = learn.learn(spark, rows, "learned")
-    return spark.createDataFrame([(t["id"], t["regex"], t["event_class"]) for t in made.definition["templates"]], "id string, regex string, event_class string")
+    """Templates of all lines, by their distinct shapes."""
+    made = learn.learn_all(spark, event_lines(spark, sf_dir), "learned")
+    return spark.createDataFrame([(t["id"], t["regex"], t["event_class"]) for t in made], "id string, regex string, event_class string")
 
 
 @query()

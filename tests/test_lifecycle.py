@@ -1,10 +1,11 @@
 import json
+import re
 from collections import Counter
 
 import pytest
 import yaml
 
-from logloom import cli
+from logloom import cli, queries
 from logloom.operators import monitor, verify
 from logloom.plans import learn
 from logloom.plans.definitions import BUILTIN, validate
@@ -189,3 +190,13 @@ def test_bounds_and_names(spark):
         with pytest.raises(ValueError):
             check_bounds(bad, "learn")
     assert safe_name("a b/c") == "a_b_c" and safe_name("1x") == "parser_1x" and safe_name("") == "parser"
+
+
+def test_late_shapes_get_templates(spark, monkeypatch):
+    rows = [(i, f"src=10.0.0.{i % 9} action=deny") for i in range(12_000)] + [(12_000, "src=1 late=yes"), (12_001, "user bob7 logged in from host9"), (12_002, "user al logged in from host9 twice"), (12_003, None)]
+    rows += [(13_000 + i, f"unit {a}{b} started") for i, (a, b) in enumerate((a, b) for a in "abcdefghijklm" for b in "nopqrstuvwxyz")]
+    lines = spark.createDataFrame(rows, "event_id long, line string")
+    monkeypatch.setattr(queries, "event_lines", lambda *_: lines)
+    for make in (lambda: [r["regex"] for r in queries.drain_clusters(spark, "").collect()], lambda: [t["regex"] for t in learn.learn_all(spark, lines, "learned", batch=50)]):
+        made = make()
+        assert len(made) == len({*made}) and [x for _, x in rows if x is not None and not any(re.match(r, x) for r in made)] == []
