@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,9 @@ def _encoder(definition: str) -> WordEncoder:
         from tokenizers import Tokenizer
 
         quiet()
-        full = Tokenizer.from_str(definition)
-        full.encode_special_tokens = True
+        special = tuple(t["content"].lower() for t in json.loads(definition)["added_tokens"])
         _WORKER.clear()
-        _WORKER[key] = WordEncoder(full, plain_of(definition), cut_spaces, LOWER_LETTERS)
+        _WORKER[key] = WordEncoder(Tokenizer.from_str(definition), plain_of(definition), partial(cut_spaces, special=special), LOWER_LETTERS)
     return _WORKER[key]
 
 

@@ -79,16 +79,24 @@ def plain_of(definition: str):
 # Letters of Latin-1: each is its own normal form, and lower case takes each by itself. (The pattern begins with what is rare,
 # so that it is looked for quickly.) Signs between a letter and white space are a match by themselves.
 _STOP = re.compile("[!-/:-@[-`{-~](?<=[A-Za-zÀ-ÖØ-öø-ÿ][!-/:-@[-`{-~])[!-/:-@[-`{-~]*(?=[ \n]|\\Z)")
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: Unicode's white space, as the pattern's \s has it. (Python's has U+001C to U+001F too.)
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
 LOWER_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 LED_LETTERS = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
-def cut_spaces(text: str) -> list[str]:
-    """For a tokenizer that lower-cases and drops white space: words between spaces and line feeds, and signs after a letter by themselves."""
+def cut_spaces(text: str, special: tuple[str, ...] = ()) -> list[str]:
+    """For a tokenizer that lower-cases and drops white space: words between spaces and line feeds, and signs after a letter by themselves.
+
+    A text with one of the ``special`` strings, in whatever case, stays whole, as the tokenizer looks for them first.
+    """
+    lower = text.lower()
+    if special and any(s in lower for s in special):
+        return [text]
     try:
         text.encode("latin-1")
-        text = text.lower()
+        text = lower
     except UnicodeEncodeError:
         pass
     return _STOP.sub(r" \g<0>", text).replace("\n", " ").split(" ")
@@ -97,9 +105,9 @@ def cut_spaces(text: str) -> list[str]:
 def cut_before_spaces(text: str) -> list[str]:
     """For a byte-level pattern: pieces begin at white space after another character, as no match holds such a pair or looks across it.
 
-    Where all white space is single spaces and line feeds, a line feed is a match by itself, and so are signs between
-    a letter and white space.
+    Where all white space is single spaces and line feeds inside the text (then cutting at these gives what cutting at all white
+    space does), a line feed is a match by itself, and so are signs between a letter and white space.
     """
-    if "\0" in text or len(text.replace("\n", " ").split(" ")) != len(text.split()):  # other white space, or several together
+    if "\0" in text or text.replace("\n", " ").split(" ") != text.split():
         return _SAFE.split(text)
     return _STOP.sub("\0\\g<0>", text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")

@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 import public_tokenizers as P
@@ -21,8 +23,8 @@ TIKTOKEN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, sp
 BYTES = WordEncoder(Tokenizer.from_str(DEFINITION), plain_of(DEFINITION), cut_before_spaces, LED_LETTERS)
 WORD_JSON = open(P.path("word_bpe_49k.json"), encoding="utf-8").read()
 WORD = Tokenizer.from_str(WORD_JSON)
-WORD.encode_special_tokens = True
-WORDS = WordEncoder(WORD, plain_of(WORD_JSON), cut_spaces, LOWER_LETTERS, kept=50)
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+WORDS = WordEncoder(WORD, plain_of(WORD_JSON), partial(cut_spaces, special=SPECIAL), LOWER_LETTERS, kept=50)
 
 _TEXT = st.text(st.sampled_from(list("abcDÉñß .,!?'s\n\t \x1c\u0085\0é漢🙂ſİΣ́019-_<|>")), max_size=60) | st.text(max_size=40)
 
@@ -42,6 +44,32 @@ def test_word_level_is_the_tokenizer(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in WORDS.encode(texts)] == want
 
 
+#: What texts of mixed white space are made of: words, signs and letters beyond ASCII, and white space of every kind, tabs and blank lines most of all.
+_PARTS = ["id", "name", "a", "don't", "x1", "Été", "é", "漢字", "e\u0301", "\u0301", "!", "...", "'s", "'", "(b)", "—", "-", "_", "🙂", "\0", "<|endoftext|>", "<|EndOfText|>", "<|", "ſ", "İ"]
+_GAPS = ["\t", "\t", "\n\n", "\r\n", "\r", "\u00a0", "\u0085", "\u2003", "\u3000", "\u2028", "\x1c", "\x1f", "\v", "  ", " \n", "\n ", "", ""]
+
+
+def _mixed(seed: int, n: int):
+    rng = random.Random(seed)
+    for _ in range(n):
+        odd = rng.choice((0.02, 0.2, 0.7))
+        gap = lambda: rng.choice(_GAPS) if rng.random() < odd else rng.choice("  \n")  # noqa: E731, B023
+        yield "".join(x for _ in range(rng.randint(1, 60)) for x in (rng.choice(_PARTS), gap()))
+
+
+def test_mixed_white_space():
+    texts = ["id\tname\tvalue\n\n", *_mixed(3, 50_000)]
+    for i in range(0, len(texts), 500):
+        some = texts[i : i + 500]
+        assert [np.frombuffer(x, "<u4").tolist() for x in BYTES.encode(some)] == TIKTOKEN.encode_ordinary_batch(some, num_threads=4)
+        assert [np.frombuffer(x, "<u4").tolist() for x in WORDS.encode(some)] == [e.ids for e in WORD.encode_batch(some, add_special_tokens=False)]
+
+
+def test_special_strings_in_words():
+    for text in ("a <|endoftext|> b", "a<|endoftext|>!", "<|EndOfText|> x", "<|endoftext|>", "Ñ<|startoftext|>漢 <|endoftext|", "<|STARTOFTEXT|><|startoftext|>"):
+        assert np.frombuffer(WORDS.encode([text])[0], "<u4").tolist() == WORD.encode(text, add_special_tokens=False).ids
+
+
 def test_special_strings_are_text():
     assert np.frombuffer(BYTES.encode(["a <|endoftext|> b"])[0], "<u4").tolist() == TIKTOKEN.encode_ordinary("a <|endoftext|> b")
 
