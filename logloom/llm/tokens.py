@@ -8,6 +8,8 @@ import re
 import struct
 from collections.abc import Callable
 
+import numpy as np
+
 #: Words that a worker keeps; beyond it the table starts anew.
 KEPT = 400_000
 #: Longer words are encoded but not kept.
@@ -17,21 +19,33 @@ KEPT_LENGTH = 64
 class WordEncoder:
     """Bytes of little-endian unsigned 32-bit ids for texts.
 
-    ``cut`` splits a text into words whose encodings, one after the other, are the text's. Words that match ``is_plain`` go to
-    ``plain``, the same model without the steps that change nothing for them; all others go to ``full``.
+    ``cut`` splits a text into words whose encodings, one after the other, are the text's. Words that match ``is_plain``, letters
+    only, go to ``plain``, the same model without the steps that change nothing for them, many at once between separators; all
+    others go to ``full``.
     """
 
     def __init__(self, full, plain, cut: Callable[[str], list[str]], is_plain: re.Pattern, kept: int = KEPT):
         self.full, self.plain, self.cut, self.is_plain, self.kept = full, plain, cut, is_plain.fullmatch, kept
+        (self.separator,) = plain.encode("\0", add_special_tokens=False).ids
         self.table: dict[str, bytes] = {"": b""}
 
-    def _encode(self, tokenizer, words: list[str]) -> None:
+    def _encode(self, words: list[str]) -> None:
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
-            for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            for w, e in zip(some, self.full.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 ids = e.ids
                 self.table[w] = struct.pack(f"<{len(ids)}I", *ids)
 
+    def _encode_plain(self, words: list[str]) -> None:
+        for i in range(0, len(words), 20_000):
+            some = words[i : i + 20_000]
+            (found,) = self.plain.encode_batch_fast(["\0".join(some)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            packed, start = ids.tobytes(), 0
+            for w, end in zip(some, [*(4 * np.flatnonzero(ids == self.separator)).tolist(), len(packed)], strict=True):
+                self.table[w] = packed[start:end]
+                start = end + 4
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
         table = self.table
@@ -49,9 +63,9 @@ class WordEncoder:
             pass
         new = {words[at] for at in places}
         odd = [w for w in new if not self.is_plain(w)]
-        self._encode(self.full, odd)
+        self._encode(odd)
         new.difference_update(odd)
-        self._encode(self.plain, list(new))
+        self._encode_plain(list(new))
         for at in places:
             found[at] = table[words[at]]
         out, at = [], 0
@@ -69,11 +83,12 @@ def quiet() -> None:
 
 
 def plain_of(definition: str):
-    """The tokenizer of the definition without normalizer, splitting pattern and added tokens."""
+    """The tokenizer of the definition without normalizer and added tokens, its splitting pattern replaced by the separator U+0000."""
     from tokenizers import Tokenizer
 
     d = json.loads(definition)
-    return Tokenizer.from_str(json.dumps(d | {"normalizer": None, "added_tokens": [], "pre_tokenizer": d["pre_tokenizer"]["pretokenizers"][-1]}))
+    split = {"type": "Split", "pattern": {"String": "\0"}, "behavior": "Isolated", "invert": False}
+    return Tokenizer.from_str(json.dumps(d | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, d["pre_tokenizer"]["pretokenizers"][-1]]}}))
 
 
 # Letters of Latin-1: each is its own normal form, and lower case takes each by itself. (The pattern begins with what is rare,
