@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import chunks, lean, mix64
-from logloom.llm.sampling import by_class, fold
+from logloom.llm.sampling import by_class, fold, within_bytes
 
 #: Labelled rows that are learned from (about), shared evenly by the languages; length of the n-grams; discount.
 ROWS, ORDER, DISCOUNT = 3000, 4, 0.75
@@ -214,7 +214,8 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, rows: int = ROWS, id_c
     known = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).where(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & F.col("_id").isNotNull())
     known = known.where(fold("_id", folds) != held)
     sample: dict[str, set[str]] = {}
-    for r in by_class(known, "_lang", rows, "_id", together=True).select("_lang", "_text").collect():
+    known, counts = by_class(known, "_lang", rows, "_id", "_text", together=True)
+    for r in within_bytes(known.select("_lang", "_text"), "_lang", "_text", len(counts)).select("_lang", "_text").toLocalIterator():
         sample.setdefault(r[0], set()).add(r[1])
     return LanguageModels({k: sorted(v) for k, v in sample.items()})
 
