@@ -1,10 +1,11 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, fixed-size membership filters, vectorised word hashing."""
+"""Shared helpers: scratch tables in the cluster's shared folder, membership filters of bounded size, vectorised word hashing."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,23 +56,38 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def membership_filter(keys: DataFrame, key: str, log2_bits: int = 25) -> DataFrame:
+#: Bits of a filter for each key, and the most bits (32 MB) of a filter that is broadcast.
+KEY_BITS, MOST_LOG2_BITS = 8, 28
+
+
+def filter_bits(keys: int) -> int:
+    """The binary logarithm of a filter's bits for so many keys."""
+    return min(MOST_LOG2_BITS, max(15, (KEY_BITS * max(1, keys) - 1).bit_length()))
+
+
+def membership_filter(keys: DataFrame, key: str, log2_bits: int) -> DataFrame:
     """A filter of 2**log2_bits bits over the 64-bit column ``key``: rows (slice, bits), at most 2**(log2_bits - 15) of 4 KiB.
 
-    The size is fixed, whatever the number of keys: it may be broadcast. It lets through every key and some others.
+    With filter_bits of the number of keys it has KEY_BITS bits a key up to 2**MOST_LOG2_BITS in all, so it may be broadcast. It
+    lets through every key and some others.
     """
     slot = F.pmod(F.col(key), F.lit(1 << log2_bits))
     slots = keys.select(F.shiftright(slot, 15).cast("int").alias("_slice"), slot.bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("_bit"))
     return slots.groupBy("_slice").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
 
 
-def probe(rows: DataFrame, key: str, filt: DataFrame, log2_bits: int = 25) -> DataFrame:
-    """The rows whose ``key`` may be in the filter. The broadcast side has the filter's fixed size."""
+def maybe(rows: DataFrame, key: str, filt: DataFrame, log2_bits: int, into: str) -> DataFrame:
+    """rows with the boolean column ``into``: whether ``key`` may be in the filter, which is broadcast."""
     slot = F.pmod(F.col(key), F.lit(1 << log2_bits))
     out = rows.withColumns({"_slice": F.shiftright(slot, 15).cast("int"), "_bit": slot.bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int")})
-    out = out.join(F.broadcast(filt), "_slice")
+    out = out.join(F.broadcast(filt), "_slice", "left")
     byte = "cast(conv(hex(substring(_bits, _bit div 8 + 1, 1)), 16, 10) as int)"
-    return out.where(F.expr(f"(shiftright({byte}, _bit % 8) & 1) = 1")).drop("_slice", "_bit", "_bits")
+    return out.withColumn(into, F.expr(f"_bits is not null and (shiftright({byte}, _bit % 8) & 1) = 1")).drop("_slice", "_bit", "_bits")
+
+
+def probe(rows: DataFrame, key: str, filt: DataFrame, log2_bits: int) -> DataFrame:
+    """The rows whose ``key`` may be in the filter."""
+    return maybe(rows, key, filt, log2_bits, "_maybe").where("_maybe").drop("_maybe")
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -110,8 +126,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_P = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: dict[str, np.ndarray] = {}
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -123,34 +140,30 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    if len(_POWERS.get("p", ())) < n:
-        size = max(n, 1 << 16)
-        inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-        for k, base in (("p", _P), ("i", inverse)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _POWERS[k] = np.multiply.accumulate(a)
-    return _POWERS["p"][:n], _POWERS["i"][:n]
-
-
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, in order, and each text's first index (one more at the end). Words are runs without ASCII white space."""
-    joined = b"\n".join(texts) + b"\n"
-    raw = np.frombuffer(joined, np.uint8)
+    """64-bit hashes of the words of all texts, in order, and each text's first index (one more at the end). Words are runs without ASCII white space.
+
+    A word is hashed by eight bytes after the other, each mixed by mix64, which isn't linear in any arithmetic that texts could
+    be patterned after; words over LONG_WORD bytes by BLAKE2.
+    """
+    raw = np.frombuffer(b"\n".join(texts) + b"\n" + bytes(8), np.uint8)[:-8]
     space = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    letters = (_LOWER[raw] if lower else raw).astype(np.uint64)
-    p, inverse = _powers(len(raw) + 1)
-    letters += np.uint64(1)
-    letters *= p[: len(raw)]
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(letters, out=total[1:])
-    h = (total[ends] - total[starts]) * inverse[starts]
-    h = mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    letters = np.zeros(len(raw) + 8, np.uint8)
+    letters[:-8] = _LOWER[raw] if lower else raw
+    eight = np.ndarray((len(raw),), "<u8", letters, 0, (1,))  # the eight bytes from each place on
+    size = ends - starts
+    h = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    at = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(at):
+        block = eight[starts[at] + done] & _BYTES[np.minimum(size[at] - done, 8)]
+        h[at] = mix64((h[at] ^ block) * np.uint64(0x9FB21C651E98DF25) + np.uint64(0x9E3779B97F4A7C15))
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(letters[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     first = np.concatenate(([0], np.searchsorted(starts, np.cumsum(lengths))))
     return h, first

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import chunks, lean, membership_filter, mix64, probe, staged, tidy, word_hashes
+from logloom.llm.common import chunks, filter_bits, lean, membership_filter, mix64, probe, staged, tidy, word_hashes
 
 #: Words of a shingle, and the least similarity in per cent.
 WORDS, PERCENT = 5, 75
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lost; within a bucket the bitmaps of each class outside the bucket's largest component are compared with all others', but only
     what they allow leaves the join. 5. Components.
 
-    Sets are computed again for classes that share a bucket, found through a filter of fixed size. Texts without words (null,
+    Sets are computed again for classes that share a bucket, found through a filter of bounded size. Texts without words (null,
     empty, white space) have n_shingles 0 and are linked with nothing. Null ids: such rows are linked like others; component_id
     is null if nothing with an id is reachable. Repeated rows share a component and, with its least id, all count as kept. An
     empty table gives no rows; more columns are ignored.
@@ -187,9 +187,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = staged(banded.join(buckets.select("band", "leader"), "band"), "members")
 
     key = F.xxhash64("doc_id")
-    wanted = members.select(F.col("rep").alias("doc_id"), key.alias("_k"))
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct().select(key.alias("_k"))
+    log2_bits = filter_bits(wanted.count())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).withColumn("_k", key)
-    sets = staged(sets_of(probe(texts, "_k", membership_filter(wanted, "_k"))), "sets")
+    sets = staged(sets_of(probe(texts, "_k", membership_filter(wanted, "_k", log2_bits), log2_bits)), "sets")
 
     bits = sets.select("node", "bits").dropDuplicates(["node"])
     members = members.select("band", "node", "n", "leader")

@@ -106,3 +106,22 @@ def test_signatures_estimate_similarity():
         a, b = m.signature(np.unique(u[:400])), m.signature(np.unique(u[100:]))
         agree.append((a == b).mean())
     assert abs(np.mean(agree) - 0.6) < 0.02
+
+
+def test_word_hashes_do_not_follow_patterns():
+    """Thue-Morse words and their complements have equal polynomial hashes modulo powers of two."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        h, _ = word_hashes([f"{word} {other}".encode()])
+        assert h[0] != h[1]
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    words = [b"a" * n for n in (1, 7, 8, 9, 16, 63, 64, 65, 200)] + [b"a" * 8 + b"\0", b"b", b"ab", "é漢字".encode() * 5]
+    h, first = word_hashes([b" ".join(words), b"", b"\t\n ", b"x " + words[6].upper()])
+    assert len(set(h[: len(words)].tolist())) == len(words) and first.tolist() == [0, len(words), len(words), len(words), len(words) + 2]
+    for w, x in zip(words, h.tolist(), strict=False):
+        assert word_hashes([b"  " + w])[0].tolist() == [x] == word_hashes([b"q " + w + b"\r"])[0][1:].tolist()
+    assert h[-1] == h[6]
