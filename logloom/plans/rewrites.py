@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,27 +13,74 @@ def qualify(df: DataFrame, window: Column, condition: str, name: str = "_w") ->
     return df.withColumn(name, window).where(condition).drop(name)
 
 
+#: What a query's text is made of, as far as clauses are looked for: quoted texts, comments, words, brackets, anything else.
+_PIECE = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|\w+|\s+|.""", re.DOTALL)
+_SET = {"UNION", "INTERSECT", "EXCEPT", "MINUS"}
+
+
+def qualified(sql: str) -> str:
+    """The query with each QUALIFY clause as a filter around its SELECT: the condition becomes a column, in which the other columns' names can be used, that is left out again."""
+    if not re.search(r"\bqualify\b", sql, re.IGNORECASE):
+        return sql
+    pieces, at = _PIECE.findall(sql), 0
+
+    def level(closed: bool) -> str:
+        """The text up to the bracket that closes this level."""
+        nonlocal at
+        out: list[str] = []
+        while at < len(pieces):
+            piece = pieces[at]
+            at += 1
+            if piece == ")" and closed:
+                return "".join(clause(out)) + ")"
+            out.append("(" + level(True) if piece == "(" else piece)
+        return "".join(clause(out))
+
+    def clause(items: list[str]) -> list[str]:
+        words = [x.upper() for x in items]
+        if "QUALIFY" not in words:
+            return items
+        q = words.index("QUALIFY")
+        begin = max(i for i, w in enumerate(words[:q]) if w == "SELECT")
+        source = next((i for i in range(begin, q) if words[i] == "FROM"), None)
+        if source is None:
+            raise ValueError("QUALIFY needs a SELECT with FROM")
+        after = (i for i in range(q, len(words)) if words[i] in ("LIMIT", "OFFSET", *_SET) or (words[i] in ("ORDER", "SORT", "CLUSTER", "DISTRIBUTE") and words[i + 1 : i + 3] == [" ", "BY"]))
+        end = next(after, len(items))
+        columns, rest, condition = "".join(items[begin + 1 : source]), "".join(items[source:q]), "".join(items[q + 1 : end])
+        made = f"SELECT * EXCEPT (_qualify) FROM (SELECT {columns}, ({condition.strip()}) AS _qualify {rest}) WHERE _qualify "
+        return clause([*items[:begin], made, *items[end:]])
+
+    return level(False)
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: str, at: str, right_at: str, columns: list[str], slice_seconds: int | None = None) -> DataFrame:
     """Each left row with the columns of the last right row of its key at or before it; null if there is none.
 
     One pass over both sides together, sorted by time within a key: no pairs are made. With ``slice_seconds`` a hot key is split
-    into time slices; the last right row before a slice is found from the slices' last rows, a row per key and slice.
+    into time slices; the last right row before a slice is found from the slices' last rows, a row per key and slice. Rows with a
+    null key or time match nothing; of right rows of one key and time the one with the greatest columns counts.
     """
+    known = F.col(on).isNotNull() & F.col(at).isNotNull()
+    left, unknown = left.where(known), left.where(~known)
+    right = right.where(F.col(on).isNotNull() & F.col(right_at).isNotNull())
     value = F.struct(*columns)
     a = left.select("*", F.col(on).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(value.alias("v")).dtypes[0][1]).alias("_v"))
     b = right.select(F.col(on).alias("_k"), F.col(right_at).alias("_t"), F.lit(0).alias("_side"), value.alias("_v"))
     both = a.unionByName(b, allowMissingColumns=True)
     if slice_seconds is None:
-        w = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy("_k").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
         out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w))
     else:
         both = both.withColumn("_s", F.floor(F.unix_micros(F.col("_t").cast("timestamp")) / (slice_seconds * 1_000_000)))
-        w = Window.partitionBy("_k", "_s").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy("_k", "_s").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
         lasts = both.where("_side = 0").groupBy("_k", "_s").agg(F.max(F.struct("_t", "_v")).alias("_l"))
         slices = both.select("_k", "_s").distinct().join(lasts, ["_k", "_s"], "left")
         before = slices.withColumn("_before", F.last("_l", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))).select("_k", "_s", F.col("_before._v").alias("_before"))
         out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).join(before, ["_k", "_s"], "left").withColumn("_v", F.coalesce("_v", "_before"))
-    return out.where("_side = 1").select(*left.columns, *[F.col(f"_v.{c}").alias(f"right_{c}") for c in columns])
+    found = out.where("_side = 1").select(*left.columns, *[F.col(f"_v.{c}").alias(f"right_{c}") for c in columns])
+    kinds = dict(right.dtypes)
+    return found.unionByName(unknown.select("*", *[F.lit(None).cast(kinds[c]).alias(f"right_{c}") for c in columns]))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:

@@ -59,6 +59,12 @@ STATEMENTS: dict[str, tuple] = {
     "sql_pivot": (["orders"], "SELECT * FROM (SELECT o_orderpriority, o_orderstatus FROM orders) PIVOT (count(*) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))", "SELECT o_orderpriority, nullif(count_if(o_orderstatus = 'F'), 0) AS f, nullif(count_if(o_orderstatus = 'O'), 0) AS o, nullif(count_if(o_orderstatus = 'P'), 0) AS p FROM orders GROUP BY 1"),
     "sql_unpivot": (["part"], "SELECT p_partkey, measure, v FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part) UNPIVOT (v FOR measure IN (size, price))", "SELECT p_partkey, measure, v FROM (UNPIVOT (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part) ON size, price INTO NAME measure VALUE v)"),
     "sql_stats": (["lineitem"], "SELECT l_returnflag, min(l_shipdate) AS first_ship, CAST(percentile(l_quantity, 0.5) AS DOUBLE) AS median, mode(l_linenumber, true) AS common, bool_or(l_tax > 0.07) AS taxed, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, min(l_shipdate) AS first_ship, quantile_cont(l_quantity, 0.5) AS median, (SELECT l_linenumber FROM lineitem i WHERE i.l_returnflag = o.l_returnflag GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS common, bool_or(l_tax > 0.07) AS taxed, count(DISTINCT l_suppkey) AS suppliers FROM lineitem o GROUP BY l_returnflag"),
+    # approximations and samples differ by engine: how far they are from the exact values is what is alike
+    "sql_approximate": (["lineitem"], "SELECT l_returnflag, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS distinct_near, abs(percentile_approx(l_extendedprice, 0.5, 1000) - percentile(l_extendedprice, 0.5)) <= 0.02 * percentile(l_extendedprice, 0.5) AS median_near FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.2 * count(DISTINCT l_partkey) AS distinct_near, abs(approx_quantile(l_extendedprice, 0.5) - quantile_cont(l_extendedprice, 0.5)) <= 0.05 * quantile_cont(l_extendedprice, 0.5) AS median_near FROM lineitem GROUP BY l_returnflag"),
+    "sql_sample": (["lineitem"], "SELECT count(*) BETWEEN 0.2 * max(n) AND 0.3 * max(n) AS a_quarter, bool_and(l_quantity > 0) AS rows_of_the_table FROM (SELECT * FROM lineitem TABLESAMPLE (25 PERCENT) REPEATABLE (7)), (SELECT count(*) AS n FROM lineitem)", "SELECT count(*) BETWEEN 0.2 * max(n) AND 0.3 * max(n) AS a_quarter, bool_and(l_quantity > 0) AS rows_of_the_table FROM (SELECT * FROM lineitem TABLESAMPLE bernoulli(25 PERCENT) REPEATABLE (7)), (SELECT count(*) AS n FROM lineitem)"),
+    "sql_order_by_all": (["nation"], "SELECT n_regionkey, n_name FROM nation ORDER BY ALL LIMIT 9"),
+    "sql_set_intersect_all": (["lineitem", "orders"], "SELECT l_orderkey % 100 AS k FROM lineitem INTERSECT ALL SELECT o_orderkey % 100 FROM orders"),
+    "sql_set_except_all": (["lineitem", "orders"], "SELECT l_orderkey % 100 AS k FROM lineitem EXCEPT ALL SELECT o_orderkey % 100 FROM orders"),
 }
 
 
@@ -80,9 +86,18 @@ def sql_qualify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrites.qualify(orders, F.row_number().over(w), "_w <= 2").select("o_custkey", "o_orderkey")
 
 
+_QUALIFY = "SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS r FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) <= 3) WHERE o_totalprice > 1000 QUALIFY r = 1 OR o_orderkey % 50 = 0"
+
+
+def sql_qualify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    return spark.sql(rewrites.qualified(_QUALIFY))
+
+
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.where("event_id % 2 = 1").select("event_id", "user_id", "ts"), events.where("event_id % 2 = 0").groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"))
+    """Some rows of both have no key or no time, and some of the right stand at one key and time."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "CASE WHEN event_id % 17 < 2 THEN NULL ELSE user_id END AS user_id", "CASE WHEN event_id % 19 < 2 THEN NULL ELSE date_trunc('hour', ts) END AS ts")
+    return events.where("event_id % 2 = 1"), events.where("event_id % 2 = 0")
 
 
 def sql_join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,12 +116,14 @@ def sql_join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrites.range_join(parts, bands, "p_retailprice", "low", "high", 100.0).select("p_partkey", "n_nationkey")
 
 
-QUERIES = {n: statement(n) for n in STATEMENTS} | {f.__name__: f for f in (sql_qualify, sql_join_asof, sql_join_asof_sliced, sql_join_range)}
+QUERIES = {n: statement(n) for n in STATEMENTS} | {f.__name__: f for f in (sql_qualify, sql_qualify_text, sql_join_asof, sql_join_asof_sliced, sql_join_range)}
 
-_ASOF = "SELECT l.event_id AS event_id, r.event_id AS right_event_id FROM (SELECT * FROM events WHERE event_id % 2 = 1) l ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_id % 2 = 0 GROUP BY user_id, ts) r ON l.user_id = r.user_id AND l.ts >= r.ts"
+_SIDES = "SELECT event_id, CASE WHEN event_id % 17 < 2 THEN NULL ELSE user_id END AS user_id, CASE WHEN event_id % 19 < 2 THEN NULL ELSE date_trunc('hour', ts) END AS ts FROM events WHERE event_id % 2 ="
+_ASOF = f"SELECT l.event_id AS event_id, r.event_id AS right_event_id FROM ({_SIDES} 1) l ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM ({_SIDES} 0) WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id, ts) r ON l.user_id = r.user_id AND l.ts >= r.ts"
 
 ORACLE = {n: s[-1] for n, s in STATEMENTS.items()} | {
     "sql_qualify": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2",
+    "sql_qualify_text": _QUALIFY,
     "sql_join_asof": _ASOF,
     "sql_join_asof_sliced": _ASOF,
     "sql_join_range": "SELECT p_partkey, n_nationkey FROM part JOIN nation ON p_retailprice >= n_nationkey * 70.0 + 800 AND p_retailprice < n_nationkey * 70.0 + 1000",

@@ -188,13 +188,52 @@ def test_store_lineage_and_sql(spark, land, tmp_path):
     assert sqlgate.recent(flat, 5).count() == 5
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE events", "SELECT 1; SELECT 2", "WITH a AS (SELECT 1) SELECT * FROM a", "SELECT * FROM text.`/etc/hostname`", "SELECT (SELECT max(value) FROM text.`/etc/hostname`) FROM events", "SELECT * FROM events WHERE raw IN (SELECT value FROM csv.`/etc/hosts`)", "SELECT reflect('java.lang.System', 'exit', 1) FROM events", "SELECT * FROM other", "SELECT * FROM events JOIN parquet.`/x` p ON 1 = 1"])
+_CALL = "reflect('java.lang.System', 'getProperty', 'user.home')"
+REFUSED = [
+    f"SELECT {', '.join(f'{i} AS c{i}' for i in range(30))}, {_CALL} AS x FROM events", f"SELECT upper({_CALL}) FROM events", f"SELECT java_method{_CALL.removeprefix('reflect')} FROM events", f"SELECT try_reflect{_CALL.removeprefix('reflect')} FROM events",
+    f"SELECT ReFlect{_CALL.removeprefix('reflect')} FROM events", f"SELECT `reflect`{_CALL.removeprefix('reflect')} FROM events", f"SELECT system.builtin.{_CALL} FROM events", f"SELECT transform(array(1), x -> {_CALL}) FROM events", f"SELECT 1 FROM events WHERE EXISTS (SELECT {_CALL})",
+    f"SELECT 1 FROM events ORDER BY {_CALL}", f"SELECT count(*) FILTER (WHERE {_CALL} = 'a') FROM events", f"SELECT sum(1) OVER (PARTITION BY {_CALL}) FROM events", f"SELECT sum(1) OVER w FROM events WINDOW w AS (PARTITION BY {_CALL})", f"SELECT 1 FROM events GROUP BY {_CALL} HAVING {_CALL} = 'a'",
+    f"SELECT * FROM events JOIN LATERAL (SELECT {_CALL} AS x) t ON true", f"SELECT * FROM events LATERAL VIEW explode(array({_CALL})) t AS x", f"SELECT CASE WHEN raw IN (SELECT {_CALL}) THEN 1 END FROM events", f"SELECT * FROM explode(array({_CALL}))", f"SELECT raw FROM events QUALIFY {_CALL} = 'a'",
+    "SELECT * FROM (WITH secret AS (SELECT 1) SELECT * FROM secret) JOIN secret ON true", "SELECT * FROM IDENTIFIER('other')", "SELECT IDENTIFIER('reflect')('a', 'b') FROM events", "SELECT TRANSFORM(raw) USING 'cat' FROM events", "SELECT * FROM db.events", "SELECT * FROM events VERSION AS OF 1", "SELECT input_file_name() FROM events",
+    "SELECT from_protobuf(raw, 'm', '/etc/passwd') FROM events", "SELECT no_such_function(raw) FROM events", "SELECT :p FROM events", "SELECT (raw FROM events", "SELECT * FROM read_files('/etc')", "SELECT current_user() FROM events", "SELECT * FROM events |> WHERE raw = 'a'", "SELECT * FROM events UNION ALL SELECT * FROM csv.`/etc/hosts`",
+]
+ACCEPTED = [
+    "SELECT raw LIKE '%reflect%' AS a, action = 'Command' AS b, 'java_method' AS c, \"InsertInto\" AS d FROM events", "SELECT event_id AS reflect FROM events", "SELECT action, count(*) AS n FROM events GROUP BY ALL ORDER BY ALL", "SELECT DISTINCT action FROM events WHERE raw RLIKE 'a' AND NOT (byte_offset BETWEEN 1 AND 2) OR src_ip IN ('a', 'b') AND dst_ip IS NOT NULL",
+    "SELECT src_ip, row_number() OVER (PARTITION BY src_ip ORDER BY event_time DESC ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM events QUALIFY n = 1 ORDER BY src_ip LIMIT 5 OFFSET 1", "SELECT event_json:src_endpoint.ip, get_json_object(event_json, '$.a'), CAST(line_no AS DOUBLE) / 2, line_no::string, try_cast(raw AS INT), interval 1 day FROM events",
+    "SELECT transform(split(raw, ' '), x -> upper(x) || '!')[0], named_struct('a', 1).a, map('a', 1)['a'], extract(YEAR FROM to_timestamp(event_time)), trim(BOTH 'x' FROM raw), position('a' IN raw) FROM events", "SELECT * EXCEPT (raw) FROM events TABLESAMPLE (10 PERCENT)", "SELECT a, b FROM events PIVOT (count(raw) FOR action IN ('deny' AS a, 'accept' AS b))",
+    "SELECT action, count(*) FROM events GROUP BY GROUPING SETS ((action), ()) HAVING count(*) > 1", "SELECT raw FROM events INTERSECT ALL SELECT raw FROM events EXCEPT SELECT 'a' UNION SELECT 'b'", "SELECT sum(x) OVER w FROM (SELECT line_no AS x FROM events) WINDOW w AS (ORDER BY x)", "SELECT /*+ BROADCAST(e) */ e.raw FROM events e LEFT SEMI JOIN events f ON e.event_id <=> f.event_id",
+    "SELECT (SELECT max(line_no) FROM events), EXISTS (SELECT 1 FROM events WHERE line_no = 1), action IN (SELECT action FROM EVENTS) FROM Events", "SELECT * FROM events, LATERAL (SELECT line_no + 1 AS m) t", "SELECT approx_count_distinct(src_ip), percentile_approx(line_no, 0.5), md5(raw), date_trunc('hour', to_timestamp(event_time)) FROM events GROUP BY 4", "SELECT a FROM VALUES (1), (2) AS t(a)",
+]
+
+
+def test_qualify_in_text(spark):
+    from logloom.plans.rewrites import qualified
+
+    spark.range(20).selectExpr("id", "id % 3 AS k", "'a QUALIFY ) (' AS note").createOrReplaceTempView("numbered")
+    run = lambda sql: sorted(tuple(r) for r in spark.sql(qualified(sql)).collect())
+    assert run("SELECT id, k FROM numbered QUALIFY row_number() OVER (PARTITION BY k ORDER BY id DESC) = 1") == [(17, 2), (18, 0), (19, 1)]
+    assert run("SELECT id, count(*) OVER (PARTITION BY k) AS n FROM numbered WHERE note = 'a QUALIFY ) (' QUALIFY n = 6 ORDER BY id LIMIT 2") == [(2, 6), (5, 6)]
+    assert run("SELECT count(*) AS n FROM (SELECT id FROM numbered qualify id = max(id) OVER (PARTITION BY k)) UNION ALL SELECT k FROM numbered QUALIFY id = max(id) OVER ()") == [(1,), (3,)]
+    assert run("SELECT k, sum(id) AS s FROM numbered GROUP BY k QUALIFY rank() OVER (ORDER BY sum(id) DESC) = 1") == [(1, 70)]
+    assert qualified("SELECT 'qualify' AS x") == "SELECT 'qualify' AS x"
+
+
+def test_asof_of_unknown_keys_and_times(spark):
+    from logloom.plans.rewrites import asof_join
+
+    left = spark.createDataFrame([(1, "a", 5), (2, None, 5), (3, "a", None), (4, "b", 1), (4, "b", 1)], "i int, k string, t int").selectExpr("i", "k", "timestamp_seconds(t) AS t")
+    right = spark.createDataFrame([("a", 1, 10), ("a", 1, 11), ("a", None, 12), (None, 1, 13), ("b", 2, 14), ("b", None, 15)], "k string, t int, v int").selectExpr("k", "timestamp_seconds(t) AS t", "v")
+    for seconds in (None, 2):
+        assert sorted((r["i"], r["right_v"]) for r in asof_join(left, right, "k", "t", "t", ["v"], seconds).collect()) == [(1, 11), (2, None), (3, None), (4, None), (4, None)]
+
+
+@pytest.mark.parametrize("sql", ["DROP TABLE events", "SELECT 1; SELECT 2", "WITH a AS (SELECT 1) SELECT * FROM a", "SELECT * FROM text.`/etc/hostname`", "SELECT (SELECT max(value) FROM text.`/etc/hostname`) FROM events", "SELECT * FROM events WHERE raw IN (SELECT value FROM csv.`/etc/hosts`)", "SELECT reflect('java.lang.System', 'exit', 1) FROM events", "SELECT * FROM other", "SELECT * FROM events JOIN parquet.`/x` p ON 1 = 1", *REFUSED])
 def test_gate_rejects(spark, sql):
     with pytest.raises(sqlgate.RejectedQuery):
         sqlgate.check(spark, sql)
 
 
-@pytest.mark.parametrize("sql", ["select 1", "SELECT a.action FROM events a JOIN events b ON a.event_id = b.event_id", "SELECT * FROM (WITH c AS (SELECT * FROM events) SELECT * FROM c)", "SELECT x FROM events LATERAL VIEW explode(split(raw, ' ')) t AS x", "SELECT id FROM range(5)"])
+@pytest.mark.parametrize("sql", ["select 1", "SELECT a.action FROM events a JOIN events b ON a.event_id = b.event_id", "SELECT * FROM (WITH c AS (SELECT * FROM events) SELECT * FROM c)", "SELECT x FROM events LATERAL VIEW explode(split(raw, ' ')) t AS x", "SELECT id FROM range(5)", *ACCEPTED])
 def test_gate_accepts(spark, sql):
     sqlgate.check(spark, sql)
 
