@@ -1,4 +1,4 @@
-"""Command line: run, query, export, learn, verify, activate, monitor, trace, verify-event, verify-store, serve, bench, parsers, version."""
+"""Command line: run, query, export, health, learn, verify, activate, monitor, trace, verify-event, verify-store, serve, bench, parsers, version."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 import time
+import uuid
 from pathlib import Path
 
 import yaml
@@ -21,14 +22,18 @@ def _store(args, name: str) -> str:
 
 def run(args, spark) -> dict:
     from logloom.operators.ingest import Masking, ingest
-    from logloom.operators.store import write_events, write_raw
+    from logloom.operators.store import write_events, write_quarantine, write_raw
     from logloom.plans.definitions import load
 
     made = ingest(spark, args.file, definitions=load(args.parsers), masking=Masking(addresses=args.mask_ips, users=args.hash_users, salt=args.salt))
-    write_raw(made.raw, _store(args, "raw"))
-    batch = write_events(made.flat(), _store(args, "events"))
-    made.quarantine.write.mode("append").parquet(_store(args, "quarantine"))
-    return {"batch": batch} | made.counts().first().asDict()
+    made.classified.persist()
+    try:
+        write_raw(made.raw, _store(args, "raw"))
+        batch = write_events(made.flat(), _store(args, "events"))
+        write_quarantine(made.quarantine, _store(args, "quarantine"))
+        return {"batch": batch} | made.counts().first().asDict()
+    finally:
+        made.classified.unpersist()
 
 
 def query(args, spark) -> list:
@@ -45,9 +50,18 @@ def export(args, spark) -> dict:
     return {"exported": write(ingest(spark, args.file, definitions=load(args.parsers)).events, args.out, args.form)}
 
 
+def health(args, spark) -> dict:
+    from logloom.plans.definitions import load
+
+    return {"status": "ok", "version": VERSION, "parsers": len(load(args.parsers))}
+
+
 def learn(args, spark) -> dict:
+    from logloom.plans.learn import MAX_BYTES
     from logloom.plans.learn import learn as draft
 
+    if Path(args.file).stat().st_size > MAX_BYTES:
+        raise ValueError(f"samples have at most {MAX_BYTES} bytes")
     made = draft(spark, [x for x in Path(args.file).read_text(encoding="utf-8").splitlines() if x.strip()], args.name, created_from=args.file)
     out = Path(args.out) / f"{args.name}.yaml"
     with out.open("x", encoding="utf-8") as f:
@@ -73,10 +87,11 @@ def verify(args, spark) -> dict:
     from logloom.operators.verify import transition
     from logloom.operators.verify import verify as check
 
-    from logloom.operators.reports import verification_report
+    from logloom.operators.reports import check_bounds, verification_report
 
     cases = spark.read.schema("raw string, expected_template_id string, required_fields array<string>").json(args.cases).na.fill("").selectExpr("raw", "nullif(expected_template_id, '') expected_template_id", "coalesce(required_fields, array()) required_fields")
     definition = _parser(args.parser)
+    check_bounds(cases, "verify", "raw")
     report = check(cases, definition)
     Path(args.report).write_text(json.dumps(report, sort_keys=True, indent=2), encoding="utf-8")
     verification_report(report, Path(args.report).parent)
@@ -110,7 +125,11 @@ def monitor(args, spark) -> dict:
     if out["drifting"]:
         rest = [r["line"] for r in unmatched(lines, [definition], definition["name"], "line_no").collect()]
         if rest and args.out:
-            _save(str(Path(args.out) / f"{definition['name']}-draft.yaml"), draft(spark, rest, f"{definition['name']}-draft", created_from=args.file).definition)
+            made = draft(spark, rest, f"{definition['name']}-draft", created_from=args.file).definition
+            at = Path(args.out) / f"{definition['name']}-draft.yaml"
+            if at.exists() and yaml.safe_load(at.read_text(encoding="utf-8")) != made:
+                raise ValueError(f"{at} is another draft; it is not replaced")
+            _save(str(at), made)
         if definition["state"] == "active":
             _save(args.parser, transition(definition, "drifting"))
     return out
@@ -147,7 +166,7 @@ def serve(args, spark) -> dict:
     from logloom.server import Service
     from logloom.server import serve as make
 
-    server = make(Service(spark, Path(args.data).absolute(), args.parsers), args.host, args.port)
+    server = make(Service(spark, args.data if ":" in args.data else Path(args.data), args.parsers), args.host, args.port)
     try:
         server.serve_forever()
     finally:
@@ -160,22 +179,35 @@ def verify_store(args, spark) -> dict:
     from logloom.operators.lineage import verify_store as faults
 
     raw = spark.read.parquet(_store(args, "raw"))
-    found = [r.asDict() for r in faults(raw).limit(100).collect()]
+    every = faults(raw)
+    n = every.count()
     lost = orphans(spark.read.parquet(_store(args, "events")), raw).count()
-    return {"valid": not found and not lost, "faults": found, "orphans": lost}
+    return {"valid": not n and not lost, "fault_count": n, "first_faults": [r.asDict() for r in every.orderBy("sequence").limit(100).collect()], "orphans": lost}
 
 
 def bench(args, spark) -> dict:
-    from pyspark.sql import functions as F
-
-    from logloom.operators.ingest import ingest_lines
+    """Lines of a generated file, from reading them to stored tables; the report beside the data."""
+    from logloom.operators import store
+    from logloom.operators.ingest import ingest
+    from logloom.operators.reports import benchmark_report
     from logloom.sources.synthetic import generate
 
-    rows = generate(spark, args.n, args.form).select(F.lit("/bench/" + args.form).alias("path"), F.lit("bench").alias("source_id"), (F.col("id") + 1).alias("line_no"), (F.col("id") * 200).alias("byte_offset"), F.col("line").cast("binary").alias("raw"))
+    at = _store(args, f"bench-{uuid.uuid4().hex}")
+    generate(spark, args.n, args.form).select("line").coalesce(1).write.text(f"{at}/log")
     began = time.time()
-    ingest_lines(rows, csv=False).flat().write.format("noop").mode("overwrite").save()
+    made = ingest(spark, f"{at}/log")
+    made.classified.persist()
+    try:
+        store.write_raw(made.raw, f"{at}/raw")
+        store.write_events(made.flat(), f"{at}/events")
+        store.write_quarantine(made.quarantine, f"{at}/quarantine")
+    finally:
+        made.classified.unpersist()
     took = time.time() - began
-    return {"records": args.n, "seconds": round(took, 3), "events_per_second": round(args.n / took, 1)}
+    out = {"form": args.form, "records": args.n, "stored_events": spark.read.parquet(f"{at}/events").count(), "seconds": round(took, 3), "events_per_second": round(args.n / took, 1)}
+    if args.out:
+        benchmark_report(out, args.out)
+    return out
 
 
 def parsers(args, spark) -> list:
@@ -191,7 +223,7 @@ def main(argv: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     options = {
         run: [("file",), ("--mask-ips",), ("--hash-users",), ("--salt", "")], query: [("sql",)], export: [("file",), ("out",), ("--form", "ndjson")], learn: [("file",), ("name",), ("out",)], verify: [("parser",), ("cases",), ("report",)],
-        activate: [("parser",), ("report",)], monitor: [("parser",), ("file",), ("--out", ""), ("--min-coverage", 0.9), ("--min-confidence", 0.8)], trace: [("event_id",)], verify_event: [("event",), ("--store", "")], verify_store: [], serve: [("--host", "127.0.0.1"), ("--port", 8000)], bench: [("--n", 100_000), ("--form", "fortigate")], parsers: [],
+        activate: [("parser",), ("report",)], monitor: [("parser",), ("file",), ("--out", ""), ("--min-coverage", 0.9), ("--min-confidence", 0.8)], trace: [("event_id",)], verify_event: [("event",), ("--store", "")], verify_store: [], health: [], serve: [("--host", "127.0.0.1"), ("--port", 8000)], bench: [("--n", 100_000), ("--form", "fortigate"), ("--out", "")], parsers: [],
     }
     for f, found in options.items():
         s = sub.add_parser(f.__name__.replace("_", "-"))

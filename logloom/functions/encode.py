@@ -16,6 +16,31 @@ def canonical(c: Column, nulls: bool = False) -> Column:
     return F.to_json(c, {"ignoreNullFields": str(not nulls).lower()})
 
 
+_CONTROL = r"\\u00[01][A-F]"
+
+
+def plain_json(c: Column) -> Column:
+    """JSON text with the escapes of control characters in lower case, as other encoders write them."""
+    out = c
+    for letter in "ABCDEF":
+        # an even number of backslashes before: the escape is one, not an escaped backslash and what follows
+        out = F.regexp_replace(out, rf"((?<!\\)(?:\\\\)*)\\u00([01]){letter}", rf"$1\\u00$2{letter.lower()}")
+    return F.when(c.rlike(_CONTROL), out).otherwise(c)
+
+
+def ascii_json(c: Column) -> Column:
+    """JSON text with every character beyond printable ASCII as escapes of its UTF-16 units."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def escaped(ch: Column) -> Column:
+        n = F.ascii(ch).cast("bigint")
+        pair = F.concat(unit(F.lit(0xD800).cast("bigint") + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00).cast("bigint") + (n - 0x10000) % 1024))
+        return F.when(n < 127, ch).when(n < 0x10000, unit(n)).otherwise(pair)
+
+    text = plain_json(c)
+    return F.when(c.rlike(r"[^\x00-\x7E]"), F.array_join(F.transform(F.split(text, ""), escaped), "")).otherwise(text)
+
+
 def base64_text(c: Column) -> Column:
     """Base64 of the UTF-8 text without line breaks, whatever the session's setting."""
     return F.regexp_replace(F.base64(F.encode(c, "UTF-8")), "[\\r\\n]", "")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import ipaddress
+import json
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,10 +39,9 @@ def _mask_ipv6(prefix: int):
     return mask
 
 
-def mask_address(c: Column, v4: int = 24, v6: int = 64, ipv6: bool = True) -> Column:
-    """An address truncated to its network; other texts as they are. IPv6 needs Python, as Spark has no such function; ``ipv6=False`` leaves it out."""
-    other = F.when(c.contains(":"), F.coalesce(_mask_ipv6(v6)(F.when(c.contains(":"), c)), c)).otherwise(c) if ipv6 else c
-    return F.coalesce(mask_ipv4(c, v4), other)
+def mask_address(c: Column, v4: int = 24, v6: int = 64) -> Column:
+    """An address truncated to its network; other texts as they are. IPv6 needs Python, as Spark has no such function."""
+    return F.coalesce(mask_ipv4(c, v4), F.when(c.contains(":"), F.coalesce(_mask_ipv6(v6)(F.when(c.contains(":"), c)), c)).otherwise(c))
 
 
 def hash_user(c: Column, salt: str) -> Column:
@@ -49,10 +50,50 @@ def hash_user(c: Column, salt: str) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(salt + ":"), c), 256))
 
 
-def mask_map(m: Column, v4: int, v6: int, salt: str | None, ipv6: bool = False) -> Column:
-    """A map<string,string> with its address values (keys that end in ip) truncated, and its user names hashed if there is a salt."""
-    def value(k: Column, v: Column) -> Column:
-        out = F.when(F.lower(k).endswith("ip"), F.coalesce(mask_ipv4(v, v4), v)).otherwise(v)
-        return F.when(F.lower(k).isin(*USER_KEYS), hash_user(v, salt)).otherwise(out) if salt else out
+def _masked(value, key: str, v4: int | None, v6: int | None, salt: str | None):
+    """The value with its addresses truncated (v4 and v6, unless null) and its user names hashed (if there is a salt), at any depth; items of a list have the list's key."""
+    if isinstance(value, dict):
+        return {k: _masked(v, k.casefold(), v4, v6, salt) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_masked(v, key, v4, v6, salt) for v in value]
+    if not isinstance(value, str):
+        return value
+    if v4 is not None and key.endswith("ip"):
+        try:
+            address = ipaddress.ip_address(value)
+        except ValueError:
+            return value
+        return str(ipaddress.ip_network((address, v4 if address.version == 4 else v6), strict=False).network_address)
+    if salt and key in USER_KEYS:
+        return "sha256:" + hashlib.sha256(f"{salt}:{value}".encode()).hexdigest()
+    return value
 
-    return F.transform_values(m, value)
+
+def mask_json(c: Column, v4: int | None, v6: int | None, salt: str | None) -> Column:
+    """JSON text, its keys in order, with what it hides at any depth; null where nothing is hidden. Other values keep their types.
+
+    Only texts with a key that ends in ip, or of a user name, go to Python.
+    """
+
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> str | None:
+            value = json.loads(text)
+            hidden = _masked(value, "", v4, v6, salt)
+            return None if hidden == value else json.dumps(hidden, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+        return texts.map(one, na_action="ignore")
+
+    ends = ["[i\ufb01\ufb03]p"] * (v4 is not None) + [f'"{k}' for k in (USER_KEYS if salt else ())]  # as they are when cases are folded
+    return mask(F.when(c.rlike(rf'(?iu)(?:{"|".join(ends)})"\s*:'), c))
+
+
+def mask_variant(v: Column, key: str, v4: int | None, v6: int | None, salt: str | None) -> Column:
+    """An event's value under that key: a text is hidden where the key says so, anything else stays."""
+    text = F.try_variant_get(v, "$", "string")
+    is_text = F.schema_of_variant(v) == "STRING"
+    if v4 is not None and key.casefold().endswith("ip"):
+        return F.when(is_text, mask_address(text, v4, v6).cast("variant")).otherwise(v)
+    if salt and key.casefold() in USER_KEYS:
+        return F.when(is_text, hash_user(text, salt).cast("variant")).otherwise(v)
+    return v

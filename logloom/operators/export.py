@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import encode
@@ -10,13 +12,13 @@ from logloom.functions import encode
 MAX_BYTES, MAX_LINE = 1 << 30, 1 << 20
 
 
-def envelope_json(ensure_ascii: bool = False) -> Column:
+def envelope_json() -> Column:
     """The envelope as canonical JSON: keys in order at every level, compact; null fields of the event are left out, those of flags stay."""
     c = F.col
     named = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
-    text = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"\A\[|\]\z", "")
+    text = lambda x: encode.plain_json(F.regexp_replace(F.to_json(F.array(x)), r"\A\[|\]\z", ""))
     parts = [
-        named("event", encode.canonical(c("event"))), named("event_id", text(c("event_id"))), named("flags", encode.canonical(c("flags"), nulls=True)), named("ingest_time", text(c("ingest_time"))),
+        named("event", encode.plain_json(encode.canonical(c("event")))), named("event_id", text(c("event_id"))), named("flags", encode.canonical(c("flags"), nulls=True)), named("ingest_time", text(c("ingest_time"))),
         named("parser", F.to_json(F.struct(c("parser.confidence").alias("confidence"), c("parser.name").alias("name"), c("parser.version").alias("version")))), named("raw", text(c("raw"))), named("raw_sha256", text(c("raw_sha256"))),
         named("source", F.to_json(F.struct(c("source.byte_offset").alias("byte_offset"), c("source.file").alias("file"), c("source.id").alias("id"), c("source.line_no").alias("line_no")))), named("unmapped", c("unmapped_json")),
     ]
@@ -51,16 +53,40 @@ def lines(events: DataFrame, form: str) -> DataFrame:
     return events.select(value.alias("value"))
 
 
+def _replace(spark: SparkSession, made: str, path: str) -> None:
+    """Puts the folder ``made`` in the place of ``path`` by renames; if the last one fails, the old folder is put back."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    new, now, old = place(made), place(path), place(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(now)
+    if there and not fs.rename(now, old):
+        raise OSError(f"can't replace {path}")
+    if not fs.rename(new, now):
+        if there:
+            fs.rename(old, now)
+        raise OSError(f"can't write {path}")
+    if there:
+        fs.delete(old, True)
+
+
 def export(events: DataFrame, path: str, form: str, max_bytes: int = MAX_BYTES, max_line: int = MAX_LINE) -> int:
-    """Writes the lines as text under path, all or nothing: a missing value, a line that is too long or too much altogether raises before anything is written; an existing export is replaced by Spark's committer only."""
+    """Writes the lines as text under path, all or nothing: a missing value, a line that is too long or too much altogether raises before anything is written.
+
+    The lines are written beside the path and take its place when they are complete, so a write that fails leaves an older export as it was.
+    """
+    spark = events.sparkSession
     out = lines(events, form).persist()
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
     try:
         n, bad, longest, total = out.agg(F.count(F.lit(1)), F.count_if(F.col("value").isNull()), F.max(F.octet_length("value")), F.sum(F.octet_length("value") + 1)).first()
         if bad:
             raise ValueError(f"{bad} envelopes are incomplete")
         if (longest or 0) > max_line or (total or 0) > max_bytes:
             raise ValueError("export is beyond its limits")
-        out.write.mode("overwrite").text(path)
+        out.write.text(beside)
+        _replace(spark, beside, path)
         return n
     finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(beside)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         out.unpersist()

@@ -9,9 +9,9 @@ KEY = ["source_id", "byte_offset", "line_no"]
 
 
 def latest(raw_index: DataFrame) -> DataFrame:
-    """Per key the row with the greatest sequence."""
-    others = [c for c in raw_index.columns if c not in (*KEY, "sequence")]
-    return raw_index.groupBy(*KEY).agg(F.max(F.struct("sequence", *others)).alias("_r")).select(*KEY, "_r.*")
+    """Per key the row with the greatest sequence, found among keys and sequences alone; a sequence is one row's."""
+    top = raw_index.groupBy(*KEY).agg(F.max("sequence").alias("sequence"))
+    return raw_index.join(top, [*KEY, "sequence"], "left_semi")
 
 
 def trace(events: DataFrame, raw_index: DataFrame) -> DataFrame:

@@ -26,8 +26,11 @@ def check_bounds(lines: DataFrame, use: str, line: str = "line") -> int:
 
 
 def safe_name(name: str, most: int = 64) -> str:
-    out = re.sub(r"[^A-Za-z0-9_-]", "_", name)[:most] or "parser"
-    return out if out[0].isalpha() else f"parser_{out}"
+    """A part of a file name: at most so many ASCII letters, digits, - and _, other characters as _, beginning with a letter."""
+    kept = [c if c in "-_" or (c.isascii() and c.isalnum()) else "_" for c in name[:most]]
+    if not kept:
+        return "parser"
+    return "".join(kept if kept[0].isalpha() else ["parser_", *kept])
 
 
 def write_atomic(path: Path, text: str) -> Path:
@@ -53,5 +56,5 @@ def monitor_report(report: dict, name: str, digest: str, folder: str | Path) ->
 
 
 def benchmark_report(result: dict, path: str | Path) -> Path:
-    text = "# Benchmark\n\nLines are generated, parsed, validated, linked and flattened by one Spark job; nothing is synced per record.\n\n"
+    text = "# Benchmark\n\nA generated file, from reading it to the stored raw lines, events and quarantine; nothing is synced per record.\n\n"
     return write_atomic(Path(path), f"{text}```json\n{json.dumps(result, indent=2, sort_keys=True)}\n```\n")

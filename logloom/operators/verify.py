@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.regex import lint
-from logloom.plans.compile import match_count, parse
+from logloom.plans.compile import event_path, match_count, parse
 from logloom.schemas import PATHS
 
 # The states that may follow a state.
@@ -24,7 +24,8 @@ def score(cases: DataFrame, definition: dict) -> DataFrame:
     has = {}
     for t in trial["templates"]:
         for f in t["fields"]:
-            leaf = F.col(f"parsed.{PATHS.get(f['ocsf_path'], f['name'])}").cast("string")
+            path = event_path(f["ocsf_path"])
+            leaf = F.col(f"parsed.{PATHS[f['ocsf_path']]}").cast("string") if f["ocsf_path"] in PATHS else F.try_variant_get(F.try_element_at(F.col("parsed.open"), F.lit(".".join(path or ()))), "$", "string")
             has[t["id"], f["name"]] = F.coalesce(leaf != "", F.lit(False))
     present = F.filter(F.array(*[F.when((F.col("actual_template_id") == t) & c, F.lit(n)) for (t, n), c in has.items()]) if has else F.array().cast("array<string>"), lambda x: x.isNotNull())
     out = out.withColumn("missing", F.array_except("required_fields", present))
@@ -40,10 +41,21 @@ def summary(scored: DataFrame) -> DataFrame:
     return s.withColumn("coverage", F.when(c("positive_cases") > 0, c("covered_cases") / c("positive_cases")).otherwise(0.0)).withColumn("valid", (c("covered_cases") == c("positive_cases")) & (c("overmerged_cases") == 0) & (c("missing_required_fields") == 0) & (c("ambiguous_cases") == 0) & (c("errors") == 0))
 
 
+def refuse_unknown(cases: DataFrame, definition: dict) -> None:
+    """ValueError if there is no case, or one that names a template that the parser lacks, or requires a field that its template lacks."""
+    known = F.create_map(*[x for t in definition["templates"] for x in (F.lit(t["id"]), F.array(*[F.lit(f["name"]) for f in t["fields"]]).cast("array<string>"))])
+    fields = F.try_element_at(known, F.col("expected_template_id"))
+    stray = F.size(F.array_except("required_fields", F.coalesce(fields, F.array().cast("array<string>")))) > 0
+    n, templates, required = cases.agg(F.count(F.lit(1)), F.count_if(F.col("expected_template_id").isNotNull() & fields.isNull()), F.count_if(stray)).first()
+    if not n or templates or required:
+        raise ValueError(f"of {n} cases {templates} name an unknown template and {required} require an unknown field" if n else "there are no cases")
+
+
 def verify(cases: DataFrame, definition: dict) -> dict:
     """The report of a draft. Patterns that aren't linear-time fail it before any case is tried."""
     if definition["state"] != "draft":
         raise ValueError("only draft parsers can be verified")
+    refuse_unknown(cases, definition)
     problems = [f"{t['id']}: {p}" for t in definition["templates"] for p in lint(t["regex"])]
     named = {"parser_name": definition["name"], "parser_version": definition["version"]}
     if problems:

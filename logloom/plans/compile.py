@@ -15,8 +15,9 @@ from logloom.functions.once import once
 from logloom.functions.regex import optional_groups, to_java
 from logloom.schemas import PATHS
 
-PARSED = "struct<parser_name:string,parser_version:bigint,template_id:string,confidence:double,event_class:string,activity:string,error:string,time:string,action:string,severity:string,message:string,user_name:string,protocol_name:string,src_ip:string,src_port:bigint,dst_ip:string,dst_port:bigint,unmapped:map<string,string>,unmapped_json:string>"
-_LEAVES = tuple(PATHS.values())
+PARSED = "struct<parser_name:string,parser_version:bigint,template_id:string,confidence:double,event_class:string,activity:string,error:string,time:string,action:string,severity:string,message:string,user_name:string,protocol_name:string,src_ip:string,src_port:bigint,dst_ip:string,dst_port:bigint,unmapped:map<string,string>,unmapped_json:string,open:map<string,variant>,invalid:string>"
+#: Columns of the event that hold numbers; the others hold texts.
+NUMBERS = ("src_port", "dst_port")
 
 
 def trimmed(line: Column) -> Column:
@@ -39,14 +40,65 @@ def _captures_udf(pattern: str):
     return captures
 
 
-def _result(definition: dict, template: dict, values: dict[str, tuple[Column, Column]], unmapped: Column, unmapped_json: Column) -> Column:
-    """values: by leaf (value, error). The error of the first mapped field that has one is the row's."""
-    errors = [e for _, e in values.values()]
-    leaf = lambda name: values[name][0].cast("bigint" if name.endswith("port") else "string") if name in values else F.lit(None).cast("bigint" if name.endswith("port") else "string")
+def event_path(path: str) -> tuple[str, ...] | None:
+    """The parts of a path inside the event; None for one that isn't (such values are in no event)."""
+    parts = tuple(path.split("."))
+    return parts[1:] if parts[0] == "event" else None
+
+
+def open_paths(definitions: list[dict]) -> list[tuple[str, ...]]:
+    """The paths of the parsers' fields that no column of the event holds, in order."""
+    found = {event_path(f["ocsf_path"]) for d in definitions for t in d["templates"] for f in t["fields"] if f["ocsf_path"] not in PATHS}
+    return sorted(found - {None})
+
+
+class _Mapped:
+    """What a template's fields give: values by column or open path, later fields over earlier ones where both are there, errors in the fields' order."""
+
+    def __init__(self) -> None:
+        self.leaves: dict[str, Column] = {}
+        self.open: dict[tuple[str, ...], Column] = {}
+        self.errors: list[Column] = []
+        self.invalid: list[Column] = []
+        self.confidence = F.lit(1.0)
+
+    def add(self, field: dict, present: Column, value: Column, error: Column) -> None:
+        value, path = F.when(present, value), event_path(field["ocsf_path"])
+        self.errors.append(F.when(present, error))
+        self.confidence = F.least(self.confidence, F.when(present, F.lit(float(field["confidence"]))))
+        if path == () or (path and any(path[: len(p)] == p and path != p or p[: len(path)] == path and p != path for p in map(event_path, PATHS))):
+            # a value where the event, or one of its columns or objects, has to be
+            bad = path == () or len(path) > 1 or path[0] in ("src_endpoint", "dst_endpoint", "severity", "message", "protocol_name")
+            if bad:
+                self.invalid.append(F.when(present, F.lit(f"{field['ocsf_path']} has the wrong type")))
+        if not path:
+            return
+        for other in [p for p in self.open if p != path and (p[: len(path)] == path or path[: len(p)] == p)]:
+            self.open[other] = F.when(~present, self.open[other])
+        if leaf := PATHS.get(field["ocsf_path"]):
+            number = field["type"] == "int"
+            if leaf in NUMBERS and not number or number and leaf in ("severity", "message", "protocol_name", "src_ip", "dst_ip"):
+                self.invalid.append(F.when(value.isNotNull(), F.lit(f"{field['ocsf_path']} has the wrong type")))
+            value = value.try_cast("bigint") if leaf in NUMBERS else F.when(present, F.lit(None).cast("string")) if leaf == "action" and number else value.cast("string")
+            self.leaves[leaf] = F.coalesce(value, self.leaves[leaf]) if leaf in self.leaves else value
+        else:
+            made = value.cast("variant")
+            self.open[path] = F.coalesce(made, self.open[path]) if path in self.open else made
+
+    def first(self, found: list[Column]) -> Column:
+        return (F.coalesce(*found) if found else F.lit(None)).cast("string")
+
+
+def _result(definition: dict, template: dict, mapped: _Mapped, unmapped: Column, unmapped_json: Column) -> Column:
+    kind = lambda name: "bigint" if name in NUMBERS else "string"
+    leaf = lambda name: mapped.leaves.get(name, F.lit(None)).cast(kind(name))
+    pairs = [x for p, v in sorted(mapped.open.items()) for x in (F.lit(".".join(p)), v)]
+    extra = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.lit(None)
     return F.struct(
-        F.lit(definition["name"]).alias("parser_name"), F.lit(definition["version"]).cast("bigint").alias("parser_version"), F.lit(template["id"]).alias("template_id"), values["_confidence"][0].alias("confidence") if "_confidence" in values else F.lit(1.0).alias("confidence"),
-        F.lit(template["event_class"]).alias("event_class"), F.lit(template["activity"]).alias("activity"), (F.coalesce(*errors) if errors else F.lit(None)).cast("string").alias("error"),
+        F.lit(definition["name"]).alias("parser_name"), F.lit(definition["version"]).cast("bigint").alias("parser_version"), F.lit(template["id"]).alias("template_id"), mapped.confidence.alias("confidence"),
+        F.lit(template["event_class"]).alias("event_class"), F.lit(template["activity"]).alias("activity"), mapped.first(mapped.errors).alias("error"),
         *[leaf(n).alias(n) for n in ("time", "action", "severity", "message", "user_name", "protocol_name", "src_ip", "src_port", "dst_ip", "dst_port")], unmapped.alias("unmapped"), unmapped_json.alias("unmapped_json"),
+        extra.cast("map<string,variant>").alias("open"), mapped.first(mapped.invalid).alias("invalid"),
     )
 
 
@@ -72,42 +124,30 @@ def _by_regex(definition: dict, template: dict, line: Column) -> Column:
         group = {n: part(i) for i, n in enumerate(names)}
     else:
         group = {n: F.when(F.size("_parts") == len(names), part(i)).otherwise(F.regexp_extract(line, pattern, k)) for i, (n, k) in enumerate(zip(names, numbers, strict=True))}
-    values: dict[str, tuple[Column, Column]] = {}
-    confidence = F.lit(1.0)
-    mapped = set()
+    mapped = _Mapped()
+    used = set()
     for f in template["fields"]:
-        if f["name"] not in group:
-            continue
-        c = group[f["name"]]
-        value, error = convert(f["type"], c)
-        leaf = PATHS.get(f["ocsf_path"], f["ocsf_path"])
-        values[leaf] = value, F.when(c.isNotNull(), error)
-        confidence = F.least(confidence, F.when(c.isNotNull(), F.lit(float(f["confidence"]))))
-        mapped.add(f["name"])
-    values["_confidence"] = confidence, F.lit(None).cast("string")
-    rest = sorted(n for n in names if n not in mapped)
+        if f["name"] in group:
+            c = group[f["name"]]
+            mapped.add(f, c.isNotNull(), *convert(f["type"], c))
+            used.add(f["name"])
+    rest = sorted(n for n in names if n not in used)
     pairs = [x for n in rest for x in (F.lit(n), group[n])]
     unmapped = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if rest else F.expr("map()").cast("map<string,string>")
     json = F.to_json(F.struct(*[group[n].alias(n) for n in rest])) if rest else F.lit("{}")
-    return _result(definition, template, values, unmapped, json)
+    return _result(definition, template, mapped, unmapped, json)
 
 
 def _by_json(definition: dict, template: dict, line: Column) -> Column:
     texts, typed = F.col("_texts"), F.col("_typed")
-    values: dict[str, tuple[Column, Column]] = {}
-    confidence = F.lit(1.0)
+    mapped = _Mapped()
     names = []
     for f in template["fields"]:
-        has = F.map_contains_key(texts, F.lit(f["name"]))
         kind = F.schema_of_variant(F.try_element_at(typed, F.lit(f["name"])))
-        text = F.try_element_at(texts, F.lit(f["name"]))
-        value, error = convert(f["type"], text, kind == "STRING", kind == "BIGINT")
-        values[PATHS.get(f["ocsf_path"], f["ocsf_path"])] = F.when(has, value), F.when(has, error)
-        confidence = F.least(confidence, F.when(has, F.lit(float(f["confidence"]))))
+        mapped.add(f, F.map_contains_key(texts, F.lit(f["name"])), *convert(f["type"], F.try_element_at(texts, F.lit(f["name"])), kind == "STRING", kind == "BIGINT"))
         names.append(f["name"])
-    values["_confidence"] = confidence, F.lit(None).cast("string")
     rest = lambda k, _: ~k.isin(*names) if names else F.lit(True)
-    return _result(definition, template, values, sorted_map(F.map_filter(texts, rest)), F.to_json(sorted_map(F.map_filter(typed, rest)), {"ignoreNullFields": "false"}))
+    return _result(definition, template, mapped, sorted_map(F.map_filter(texts, rest)), F.to_json(sorted_map(F.map_filter(typed, rest)), {"ignoreNullFields": "false"}))
 
 
 def _first(cases: list[tuple[Column, Column]], other: Column) -> Column:

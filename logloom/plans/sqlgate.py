@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
+from logloom.operators.store import exists
 from logloom.plans.rewrites import qualified
 from logloom.schemas import EVENTS
 
@@ -121,10 +122,7 @@ def query(spark: SparkSession, events: DataFrame, sql: str) -> DataFrame:
 def query_path(spark: SparkSession, path: str, sql: str) -> DataFrame:
     """The same over a stored table; without any stored part the result is empty."""
     check(spark, sql)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    events = spark.read.schema(EVENTS).parquet(path) if there else spark.createDataFrame([], EVENTS)
+    events = spark.read.schema(EVENTS).parquet(path) if exists(spark, path) else spark.createDataFrame([], EVENTS)
     return query(spark, events, sql)
 
 

@@ -153,16 +153,21 @@ def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.split_lines(files).select("path", "line_no", "byte_offset", F.sha2("raw", 256).alias("raw_sha256"))
 
 
-@query(f"""SELECT event_id, CASE event_id % 8 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN '2026' || strftime(ts, '-%m-%dT%H:%M:%SZ')
+# A text of 29 February has no year that would allow it.
+_LEAP_DAY = "event_id % 40 = 2"
+
+
+@query(f"""SELECT event_id, CASE event_id % 8 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN CASE WHEN {_LEAP_DAY} THEN '2026-09-30T12:00:00Z' ELSE '2026' || strftime(CASE WHEN strftime(ts, '%m-%d') = '02-29' THEN ts - INTERVAL 1 DAY ELSE ts END, '-%m-%dT%H:%M:%SZ') END
  WHEN 3 THEN strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%SZ') WHEN 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 5 THEN '2026-09-30T' || strftime(ts, '%H:%M:%SZ') WHEN 6 THEN strftime(ts, '%Y-%m-%dT00:00:00Z') ELSE '2026-09-30T12:00:00Z' END AS event_time,
- event_id % 8 NOT IN (0, 3) AS tz_assumed, CASE WHEN event_id % 8 = 7 THEN 'ingest_fallback' END AS time_source
- FROM events WHERE NOT (event_id % 8 = 2 AND strftime(ts, '%m-%d') = '02-29')""")
+ event_id % 8 NOT IN (0, 3) AS tz_assumed, CASE WHEN event_id % 8 = 7 OR event_id % 8 = 2 AND {_LEAP_DAY} THEN 'ingest_fallback' END AS time_source
+ FROM events""")
 def event_time_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, f = F.col("event_id") % 8, lambda p: F.date_format("ts", p)
     iso, clock, day = f("yyyy-MM-dd'T'HH:mm:ss"), f("HH:mm:ss"), f("yyyy-MM-dd")
     u = {"time": F.when(k == 0, F.concat(iso, F.lit("Z"))).when(k == 1, clock).when(k == 7, "soon"), "date": F.when(k.isin(1, 4), day).when(k == 7, "today"), "ts": F.when(k == 2, F.concat(f("MMM"), F.lit("  "), F.dayofmonth("ts").cast("string"), F.lit(" "), clock))}
     event = F.when(k == 3, F.concat(iso, F.lit(".5+02:00"))).when(k.isin(4, 5), clock).when(k == 6, day).when(k == 7, "later")
-    rows = table(spark, sf_dir, "events").where("not (event_id % 8 = 2 and date_format(ts, 'MM-dd') = '02-29')")
+    u["ts"] = F.when(F.expr(_LEAP_DAY), F.concat(F.lit("Feb 29 "), clock)).otherwise(u["ts"])
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.expr("CASE WHEN event_id % 8 = 2 AND date_format(ts, 'MM-dd') = '02-29' THEN ts - INTERVAL 1 DAY ELSE ts END"))
     return eventtime.resolve(rows, u, event, ingest_time()).select("event_id", F.col("_time").alias("event_time"), F.col("_assumed").alias("tz_assumed"), F.col("_source").alias("time_source"))
 
 
@@ -172,9 +177,9 @@ def mask_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", privacy.mask_ipv4(ip, 24).alias("net24"), privacy.mask_ipv4(ip, 16).alias("net16"), privacy.mask_ipv4(ip, 26).alias("net26"))
 
 
-@query()
+@query("SELECT event_id, '2001:db8:' || CASE WHEN user_id % 65536 = 0 THEN ':' ELSE format('{:x}', user_id % 65536) || '::' END AS masked FROM events")
 def mask_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ip = F.concat(F.lit("2001:db8:"), F.hex("user_id"), F.lit(":"), F.hex(F.col("event_id") % 65536), F.lit("::1"))
+    ip = F.concat(F.lit("2001:db8:"), F.hex(F.col("user_id") % 65536), F.lit(":"), F.hex(F.col("event_id") % 65536), F.lit("::1"))
     return table(spark, sf_dir, "events").select("event_id", privacy.mask_address(ip, v6=48).alias("masked"))
 
 
@@ -236,7 +241,7 @@ def duplicate_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_INGESTED_SQL + """ SELECT id AS event_id, regexp_replace(g.src_ip, '[0-9]+$', '0') AS src_ip, regexp_replace(g.dst_ip, '[0-9]+$', '0') AS dst_ip, (regexp_replace(g.src_ip, '[0-9]+$', '0') <> g.src_ip OR regexp_replace(g.dst_ip, '[0-9]+$', '0') <> g.dst_ip) AS masked FROM j""")
 def masked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = ingested(spark, sf_dir, ingest.Masking(addresses=True, ipv6=False))
+    made = ingested(spark, sf_dir, ingest.Masking(addresses=True))
     return made.events.select("event_id", "event.src_endpoint.ip", "event.dst_endpoint.ip", "flags.masked").toDF("event_id", "src_ip", "dst_ip", "masked")
 
 
@@ -372,7 +377,63 @@ def drain_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t["id"], t["regex"], t["event_class"]) for t in made], "id string, regex string, event_class string")
 
 
-@query()
+@query("""WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents), e AS (SELECT *, list_concat([0], list_filter(range(1, octet_length(raw) + 1), lambda i: raw[i:i] = '\\x0A'::BLOB), CASE WHEN octet_length(raw) > 0 AND raw[-1:] <> '\\x0A'::BLOB THEN [octet_length(raw)] ELSE [] END) AS cuts FROM b),
+ l AS (SELECT doc_id, unnest(range(1, len(cuts))) AS line_no, cuts FROM e), s AS (SELECT doc_id, line_no, cuts[line_no] AS pos, cuts[line_no + 1] - cuts[line_no] AS size FROM l), c AS (SELECT *, unnest(range(0, (size - 1) // 512 + 1)) AS chunk FROM s)
+ SELECT doc_id::VARCHAR AS path, line_no::BIGINT AS line_no, (pos + chunk * 512)::BIGINT AS byte_offset, chunk::INT AS chunk, size > 512 AS oversized, least(512, size - chunk * 512)::INT AS size FROM c""")
 def oversized_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
     return lines.split_lines(files, max_line_bytes=512).select("path", "line_no", "byte_offset", "chunk", "oversized", F.length("raw").alias("size"))
+
+
+def _json_parser(*fields: tuple[str, str, str]) -> list[dict]:
+    base = only("json_generic")[0]
+    own = [{"name": n, "type": t, "ocsf_path": p, "confidence": 0.9} for n, t, p in fields]
+    return [base | {"templates": [base["templates"][0] | {"fields": base["templates"][0]["fields"] + own}]}]
+
+
+def _json_events(spark: SparkSession, sf_dir: str, definitions: list[dict], masking: ingest.Masking = ingest.Masking(), line: Column | None = None) -> ingest.Ingested:
+    c = F.col
+    rows = event_lines(spark, sf_dir, "json") if line is None else event_lines(spark, sf_dir, "json").withColumn("line", line)
+    return ingest.ingest_lines(raw_lines(rows, F.lit("/logs/open"), c("event_id") * 500, c("event_id") + 1), definitions, ingest_time=ingest_time(), masking=masking, csv=False)
+
+
+@query("""SELECT event_id * 500 AS byte_offset, CASE WHEN event_id % 2 = 0 THEN 'tcp' ELSE 'udp' END AS protocol, '{"time":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}' AS unmapped_json,
+ '{"action":"' || CASE WHEN event_type IN ('error', 'click') THEN 'deny' ELSE 'accept' END || '","activity_id":0,"class_name":"Network Activity","class_uid":4001,"device":{"port":' || CASE WHEN event_id % 3 = 0 THEN 443 ELSE 53 END || '},"network":{"protocol":"'
+ || CASE WHEN event_id % 2 = 0 THEN 'tcp' ELSE 'udp' END || '"},"src_endpoint":{"ip":"10.0.' || ((user_id // 256) % 256) || '.' || (user_id % 256) || '"},"time":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"}' AS event_json FROM events""")
+def open_event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that a parser puts at places of its own in the event."""
+    made = _json_events(spark, sf_dir, _json_parser(("dst_port", "int", "event.device.port"), ("protocol", "free_text", "event.network.protocol")))
+    return made.flat().select("byte_offset", "protocol", "unmapped_json", "event_json")
+
+
+@query("""SELECT event_id % 2 = 0 AS is_event, CASE WHEN event_id % 2 = 1 THEN 'invalid_envelope' END AS reason_code, CASE WHEN event_id % 2 = 1 THEN 'event.dst_endpoint.port has the wrong type' END AS detail, count(*) AS n FROM events GROUP BY event_id % 2""")
+def invalid_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text in a port: the record is set aside, and no other."""
+    line = F.when(F.col("event_id") % 2 == 1, F.col("line")).otherwise(F.regexp_replace("line", ',"protocol":"[a-z]*"', ""))
+    made = _json_events(spark, sf_dir, _json_parser(("protocol", "free_text", "event.dst_endpoint.port")), line=line)
+    rows = made.events.select(F.lit(True).alias("is_event"), F.lit(None).cast("string").alias("reason_code"), F.lit(None).cast("string").alias("detail")).unionByName(made.quarantine.select(F.lit(False).alias("is_event"), "reason_code", "detail"))
+    return rows.groupBy("is_event", "reason_code", "detail").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id * 500 AS byte_offset, true AS masked, '10.0.' || ((user_id // 256) % 256) || '.0' AS src_ip, '{"dst_ip":"2001:db8:1:' || format('{:x}', 1 + event_id % 4096) || '::","net":{"hops":[{"ip":"10.9.' || (event_id % 256) || '.0"},7],"ttl":64},"port":443,"user":"sha256:' || sha256('pepper:u' || user_id) || '","what":"caf\\u00e9 \\ud83d\\ude42"}' AS unmapped_json FROM events""")
+def masked_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of both kinds and user names at any depth; the other values keep their types; JSON in ASCII."""
+    s = lambda x: x.cast("string")
+    i, user = F.col("event_id"), F.col("user_id")
+    line = F.concat(
+        F.lit('{"what":"café 🙂","port":443,"dst_ip":"2001:db8:1:'), F.hex(1 + i % 4096), F.lit('::7","net":{"ttl":64,"hops":[{"ip":"10.9.'), s(i % 256), F.lit(".9\"},7]},\"user\":\"u"), s(user), F.lit('","src_ip":"10.0.'), s(F.floor(user / 256) % 256), F.lit('.77"}'),
+    )
+    made = _json_events(spark, sf_dir, _json_parser(), ingest.Masking(addresses=True, users=True, salt="pepper"), line)
+    return made.flat().select("byte_offset", F.get_json_object("flags_json", "$.masked").cast("boolean").alias("masked"), "src_ip", "unmapped_json")
+
+
+@query("""SELECT c_nationkey::VARCHAR AS source_file, (1 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey))::BIGINT AS line_no, 'csv_header' AS parser_name, lower(c_mktsegment) AS action, c_name AS user_name, '{"balance":"' || c_custkey % 100 || '","note":"a,\\"b\\""}' AS unmapped_json FROM customer""")
+def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a CSV header beside files of other lines, by the flow's defaults."""
+    c = F.col
+    number = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) + 1
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("/csv/"), c("c_nationkey").cast("string")).alias("path"), number.alias("no"), F.concat_ws(",", "c_mktsegment", "c_name", (c("c_custkey") % 100).cast("string"), F.lit('"a,""b"""')).alias("line"))
+    heads = table(spark, sf_dir, "nation").select(F.concat(F.lit("/csv/"), c("n_nationkey").cast("string")).alias("path"), F.lit(1).alias("no"), F.lit("Action,User-Name,Balance,note").alias("line"))
+    other = event_lines(spark, sf_dir).select(F.lit("/logs/fortigate").alias("path"), (c("event_id") + 1).cast("int").alias("no"), "line")
+    made = ingest.ingest_lines(raw_lines(rows.unionByName(heads).unionByName(other), c("path"), c("no") * 500, c("no")), ingest_time=ingest_time())
+    return made.events.where("parser.name = 'csv_header'").select("source.file", "source.line_no", "parser.name", "event.action", "event.user_name", "unmapped_json").toDF("source_file", "line_no", "parser_name", "action", "user_name", "unmapped_json")

@@ -67,5 +67,6 @@ def parse_rows(df: DataFrame, header: str = "header", values: str = "values", in
     result = F.struct(
         F.lit("csv_header").alias("parser_name"), F.lit(1).cast("bigint").alias("parser_version"), F.lit("csv_header").alias("template_id"), F.lit(0.9).alias("confidence"), F.lit("Network Activity").alias("event_class"), F.lit("record").alias("activity"),
         reduce(lambda a, b: F.coalesce(a, b), [e for _, e in found.values()]).cast("string").alias("error"), *[found[x][0].alias(x) for x in leaves], unmapped.alias("unmapped"), F.to_json(unmapped).alias("unmapped_json"),
+        F.lit(None).cast("map<string,variant>").alias("open"), F.lit(None).cast("string").alias("invalid"),
     )
     return df.withColumn(into, F.when(h.isNotNull() & v.isNotNull() & (F.size(h) == F.size(v)), result.cast(PARSED)))

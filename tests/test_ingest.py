@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import json
+import random
 from collections import Counter
 
 import pytest
@@ -7,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logloom.functions import eventtime, privacy
+from logloom.functions import encode, eventtime, privacy
 from logloom.functions.fields import convert, value_type
 from logloom.operators import export, ingest, lineage, store
 from logloom.operators.ingest import Masking
@@ -108,7 +110,7 @@ def test_duplicates_and_masking(spark, land):
     b = a.replace("10.0.0.5", "10.0.0.9")
     plain = sorted(run(spark, land("d.log", (a + b + a).encode())).events.select("source.line_no", "event_id", "flags").collect())
     assert [r["flags"]["duplicate_count"] for r in plain] == [0, 0, 1] and plain[2]["flags"]["duplicate_of"] == plain[0]["event_id"]
-    hidden = sorted(run(spark, land("d.log", (a + b + a).encode()), masking=Masking(addresses=True, ipv6=False)).events.select("source.line_no", "event_id", "flags", "event.src_endpoint.ip").collect())
+    hidden = sorted(run(spark, land("d.log", (a + b + a).encode()), masking=Masking(addresses=True)).events.select("source.line_no", "event_id", "flags", "event.src_endpoint.ip").collect())
     assert [r["flags"]["duplicate_count"] for r in hidden] == [0, 1, 2] and {r["ip"] for r in hidden} == {"10.0.0.0"} and all(r["flags"]["masked"] for r in hidden)
     with pytest.raises(ValueError):
         Masking(users=True)
@@ -251,3 +253,87 @@ def test_generator_is_independent_of_partitions(spark):
     for form in ("fortigate", "asa", "json", "cef"):
         a = sorted(r["line"] for r in synthetic.generate(spark, 50, form).collect())
         assert a == sorted(r["line"] for r in synthetic.generate(spark, 50, form).repartition(7).collect())
+
+
+def test_splits_give_the_lines_of_whole_files(spark, tmp_path):
+    """Offsets, numbers and bytes do not depend on where Spark splits the files."""
+    rng = random.Random(3)
+    (tmp_path / "in").mkdir()
+    for k, end in enumerate((b"", b"tail", None, b"\n\n\r\n")):
+        body = b"".join(bytes(rng.choice(b"ab \xff\x00\r\xc3") for _ in range(rng.choice([0, 3, 20, 100, 3000]))) + b"\n" for _ in range(60))
+        (tmp_path / "in" / f"f {k}+%20é.log").write_bytes(b"" if end is None else body + end)
+    columns = ["path", "source_id", "line_no", "byte_offset", "raw", "chunk", "oversized"]
+    want = Counter(tuple(r) for r in lines.split_lines(spark.read.format("binaryFile").load(f"file://{tmp_path}/in"), max_line_bytes=512).select(columns).collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert Counter(tuple(r) for r in lines.read_lines(spark, f"file://{tmp_path}/in", 512).select(columns).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "c.log.gz").write_bytes(gzip.compress(b"a\nb\n"))
+    with pytest.raises(Exception, match="compressed"):
+        lines.read_lines(spark, f"file://{tmp_path}/c.log.gz").collect()
+
+
+def test_sequences_go_on_and_reruns_replace(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    for k in range(2):
+        (tmp_path / f"{k}.log").write_bytes(b"".join(b"line %d\n" % i for i in range(k * 5 + 3)))
+        made = ingest.ingest(spark, f"{at}/{k}.log")
+        store.write_raw(made.raw, f"{at}/raw")
+        for _ in range(2):
+            store.write_quarantine(made.quarantine, f"{at}/quarantine")
+    raw = spark.read.parquet(f"{at}/raw")
+    assert sorted(r["sequence"] for r in raw.collect()) == list(range(11)) and lineage.verify_store(raw).count() == 0
+    assert spark.read.parquet(f"{at}/quarantine").count() == 11
+
+
+def test_a_failed_export_leaves_the_old_one(spark, tmp_path):
+    log, out = tmp_path / "a.log", tmp_path / "out"
+    log.write_text('{"time":"2026-09-29T08:15:00Z","src_ip":"10.0.0.1","action":"deny"}\n')
+    events = ingest.ingest(spark, f"file://{log}").events
+    assert export.export(events, f"file://{out}", "ndjson") == 1
+    before = {f.name: f.read_bytes() for f in out.glob("part-*")}
+    broken = events.withColumn("raw", F.when(F.rand() >= 0, F.raise_error(F.lit("lost")).cast("string")))
+    for bad, options in ((broken, {}), (events, {"max_line": 5})):
+        with pytest.raises(Exception):
+            export.export(bad, f"file://{out}", "ndjson", **options)
+    assert {f.name: f.read_bytes() for f in out.glob("part-*")} == before and sorted(f.name for f in tmp_path.iterdir()) == ["a.log", "out"]
+    assert export.export(events, f"file://{out}", "cef") == 1 and {f.name for f in out.glob("part-*")}.isdisjoint(before)
+
+
+def test_json_in_ascii_and_control_characters(spark):
+    values = ["café 🙂 \U0010ffff", "\x00\x0b\x0e\x1f\x7f\u0085 ", "\\u001F \\\\u000B", 'a"b/c\\', "\\\x1f", "plain"]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", F.to_json(F.struct("v")).alias("j"))
+    for r in df.select("v", encode.ascii_json(F.col("j")).alias("a"), encode.plain_json(F.col("j")).alias("p")).collect():
+        assert r["a"] == json.dumps({"v": r["v"]}, separators=(",", ":")) and r["p"] == json.dumps({"v": r["v"]}, separators=(",", ":"), ensure_ascii=False)
+
+
+def _one(spark, land, fields, line, **options):
+    base = next(d for d in definitions.BUILTIN if d["name"] == "json_generic")
+    own = [{"name": n, "type": t, "ocsf_path": p, "confidence": 0.9} for n, t, p in fields]
+    parser = base | {"templates": [base["templates"][0] | {"fields": own}]}
+    made = ingest.ingest(spark, land("open.log", (line + "\n").encode()), definitions=[parser], **options)
+    found = made.flat().first()
+    return (json.loads(found["event_json"]), json.loads(found["unmapped_json"]), json.loads(found["flags_json"])["masked"]) if found else made.quarantine.first()["reason_code"]
+
+
+def test_open_paths(spark, land):
+    line = '{"a":"x","b":5,"c":"10.1.2.3","d":"bob","e":"y"}'
+    event, rest, _ = _one(spark, land, [("a", "free_text", "event.device.hostname"), ("b", "int", "event.device.os.bits"), ("c", "ipv4", "event.src_endpoint.nat.ip"), ("d", "free_text", "event.user.name"), ("e", "free_text", "event.zone")], line)
+    assert event["device"] == {"hostname": "x", "os": {"bits": 5}} and event["src_endpoint"] == {"nat": {"ip": "10.1.2.3"}} and event["user"] == {"name": "bob"} and event["zone"] == "y" and rest == {}
+    # of fields at one place, or at a place inside another's, the later one counts; one that isn't there leaves what is
+    event, _, _ = _one(spark, land, [("a", "free_text", "event.x"), ("e", "free_text", "event.x"), ("nope", "free_text", "event.x"), ("d", "free_text", "event.y"), ("a", "free_text", "event.y.z"), ("b", "int", "event.z.q"), ("d", "free_text", "event.z")], line)
+    assert (event["x"], event["y"], event["z"]) == ("y", {"z": "x"}, "bob")
+    # values where numbers, texts or objects have to be
+    for path, kind, name in (("event.src_endpoint.port", "free_text", "a"), ("event.severity", "int", "b"), ("event.src_endpoint", "free_text", "a"), ("event.message.text", "free_text", "a"), ("event", "free_text", "a")):
+        assert _one(spark, land, [(name, kind, path)], line) == "invalid_envelope"
+    assert "device" not in _one(spark, land, [("a", "free_text", "device.hostname")], line)[0]
+
+
+def test_masks_at_any_depth(spark, land):
+    line = '{"dst_ip":"2001:db8::1:2:3","net":{"src_ip":"10.9.9.9","Zip":"192.168.7.7","n":1.5,"l":[true,null,{"ip":"10.1.1.1"},"10.1.1.1"]},"ip":["10.2.2.2","no"],"dst_port":443,"user":"al","clip":"x"}'
+    hide = Masking(addresses=True, users=True, salt="s")
+    event, rest, masked = _one(spark, land, [("user", "free_text", "event.user.user_name"), ("dst_ip", "free_text", "event.nat.ip")], line, masking=hide)
+    assert masked and rest == {"net": {"src_ip": "10.9.9.0", "Zip": "192.168.7.0", "n": 1.5, "l": [True, None, {"ip": "10.1.1.0"}, "10.1.1.1"]}, "ip": ["10.2.2.0", "no"], "dst_port": 443, "clip": "x"}
+    assert event["nat"] == {"ip": "2001:db8::"} and event["user"]["user_name"] == "sha256:" + hashlib.sha256(b"s:al").hexdigest()
+    assert _one(spark, land, [], '{"ip":"10.0.0.0","a":"10.0.0.1"}', masking=Masking(addresses=True))[1:] == ({"ip": "10.0.0.0", "a": "10.0.0.1"}, False)

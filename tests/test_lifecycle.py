@@ -44,6 +44,8 @@ def test_learned_text(spark):
 
 def test_names_and_pairs():
     assert learn.group_names(["a-b", "a_b", "1x", ""]) == ["a_b", "a_b_2", "field_1x", "field_"]
+    assert learn.group_names(["a", "a_2", "a", "é", "x y"]) == ["a", "a_2", "a_3", "_", "x_y"]
+    assert learn.line_pattern(learn.mined_words(["<134>", "a*", "<*>", "<*>"])[0]) == r"^<134>\s+a\*\s+(?P<field_1>\S+)\s+(?P<field_2>\S+)$"
     assert learn.pairs_of("a=1 b='x y'") == [("a", "1"), ("b", "x y")] and learn.pairs_of("a=1 b") == [] and learn.pairs_of("a='") == []
 
 
@@ -56,8 +58,11 @@ def test_verification_and_states(spark):
     name = draft["templates"][0]["id"]
     good = verify.verify(_cases(spark, [(x, name, ["source_ip"]) for x in UNSEEN] + [("noise", None, [])]), draft)
     assert good["valid"] and good["coverage"] == 1.0 and good["cases_checked"] == 4
-    bad = verify.verify(_cases(spark, [(UNSEEN[0], "other", []), (UNSEEN[1], None, ["session"])]), draft)
+    bad = verify.summary(verify.score(_cases(spark, [(UNSEEN[0], "other", []), (UNSEEN[1], None, ["session"])]), draft)).first().asDict()
     assert not bad["valid"] and bad["overmerged_cases"] == 2 and bad["missing_required_fields"] == 1
+    for refused in ([(UNSEEN[0], "other", [])], [(UNSEEN[0], name, ["session"])], [("x", None, ["action"])], []):
+        with pytest.raises(ValueError):
+            verify.verify(_cases(spark, refused), draft)
     assert verify.verify(_cases(spark, [("x", None, [])]), draft | {"templates": [draft["templates"][0] | {"regex": "(?=x)"}]})["regex_safe"] is False
     with pytest.raises(ValueError):
         verify.verify(_cases(spark, [("x", None, [])]), draft | {"state": "verified"})
@@ -131,7 +136,9 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert call("verify-event", f"file://{event}", "--store", f"{data}/raw")[1] == {"valid": True, "errors": []}
     (tmp_path / "bad.json").write_text(event.read_text().replace("10.0.0.1", "10.0.0.2"))
     assert call("verify-event", f"file://{tmp_path}/bad.json")[1]["errors"] == ["raw SHA-256 mismatch"]
-    assert call("bench", "--n", 200)[1]["records"] == 200 and call("version")[1]["version"]
+    assert call("run", f"file://{log}")[0] == 0 and call("verify-store")[1] == {"valid": True, "fault_count": 0, "first_faults": [], "orphans": 0}
+    assert call("bench", "--n", 200, "--out", tmp_path / "bench.md")[1]["stored_events"] == 200 and (tmp_path / "bench.md").exists()
+    assert call("version")[1]["version"] and call("health")[1]["status"] == "ok"
 
 
 def test_as_of_and_range(spark):
@@ -151,6 +158,7 @@ def test_as_of_and_range(spark):
 
 
 def test_server(spark, tmp_path):
+    import socket
     import threading
     import urllib.error
     import urllib.request
@@ -175,7 +183,15 @@ def test_server(spark, tmp_path):
         status, made = call("/ingest", line, Content_Type="text/plain", X_Filename="../../x y.log")
         assert status == 200 and (made["records_seen"], made["events_written"], made["quarantined"]) == (2, 1, 1) and made["upload_file"].endswith("-upload.log")
         assert call("/ingest", b"x" * 3000, Content_Type="text/plain")[0] == 413 and call("/ingest", line, Content_Type="text/html")[0] == 415 and call("/ingest", b"", Content_Type="text/plain")[0] == 400
-        assert call("/events?limit=0")[0] == 422 and len(call("/events?limit=5")[1]) == 1
+        assert call("/ingest", iter([line[:40], line[40:]]), Content_Type="text/plain", X_Filename="a.log")[1]["records_seen"] == 2
+        assert call("/ingest", iter([b"x" * 1500] * 2), Content_Type="text/plain")[0] == 413
+        kept = sorted((tmp_path / "incoming").glob("*.log"))
+        with socket.create_connection(server.server_address) as s:  # a client that goes away
+            s.sendall(b"POST /ingest HTTP/1.1\r\nContent-Type: text/plain\r\nContent-Length: 500\r\n\r\n" + line)
+            s.shutdown(socket.SHUT_WR)
+            assert b" 400 " in s.recv(100)
+        assert sorted((tmp_path / "incoming").glob("*.log")) == kept and len(kept) == 2 and not list((tmp_path / "incoming").glob("_*"))
+        assert call("/events?limit=0")[0] == 422 and len(call("/events?limit=5")[1]) == 2
     finally:
         server.shutdown()
         server.server_close()
