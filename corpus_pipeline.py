@@ -2,45 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm.common import scratch, text_or_empty
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that language ID rejects: without letters, or unlike every learned language. The models learn from the documents given."""
+    """Drops documents that language ID rejects: without letters (null and empty ones too), or unlike every learned language.
+
+    The models learn from the documents given; without any that has a language, all go. Documents with equal texts are decided
+    alike, whatever their ids; very long ones are judged whole; an empty table stays empty; columns keep their names.
+    """
     from logloom.llm.langid import identify, train
 
     return identify(docs, train(docs), carry=tuple(docs.columns)).where(~F.col("rejected")).select("row.*")
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier predicts to be of low quality. It learns from the labels of the documents given."""
+    """Drops documents that the classifier predicts to be of low quality, null and empty ones too. It learns from the labels of the documents given; without any, all stay.
+
+    Documents with equal texts are decided alike, whatever their ids; very long ones are judged whole; an empty table stays
+    empty; columns keep their names.
+    """
     from logloom.llm.quality import score_quality, train
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_quality(docs, train(docs, labels), carry=tuple(docs.columns)).where("predicted = 1").select("row.*")
 
 
+def _key(digest: Column) -> Column:
+    """A row's identity: its id, null or not, and its text's digest."""
+    return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b":"), digest)
+
+
 def _staying(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs that a row of kept (doc_id, digest) stands for. What is kept depends on a row's id, null or not, and its text alone."""
+    """Of the rows of docs that kept (doc_id, digest) names, one for each id and text. Repeated rows are reduced in their tasks before the shuffle, so a hot one moves a row a task."""
     from logloom.llm.exact_dedup import SHA256
 
-    rows = docs.select(F.col("doc_id").alias("_id"), SHA256(text_or_empty()).alias("_digest"), F.struct("*").alias("row"))
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
-    return rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi").select("row.*")
+    rows = docs.select(_key(SHA256(text_or_empty())).alias("_key"), F.struct("*").alias("row")).dropDuplicates(["_key"])
+    return rows.join(kept.select(_key(F.col("digest")).alias("_key")).distinct(), "_key", "left_semi").select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest doc_id stays. One without an id stays if no equal text has an id. Rows repeated with the id that stays all do."""
+    """Of documents with equal texts (null counts as empty) one stays: that with the largest doc_id, or one without an id if none has any.
+
+    Where the id that stays is on several such rows, one of them does. Rows with one id and other texts are decided each by
+    itself. Very long texts are compared whole; an empty table stays empty; columns keep their names, clashing ones too.
+    """
     from logloom.llm.exact_dedup import exact_dedup
 
     return _staying(docs, exact_dedup(docs, keep="largest").where("kept").select("doc_id", "digest"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id stays. One without an id stays if its component has none. Rows with the id that stays all do."""
+    """Of each component of near-duplicates one document stays: that with the smallest doc_id, or, if none has an id, one for each text without one.
+
+    Texts without words (null, empty) are near nothing: each id of them stays once. Rows repeated with id and text are reduced to
+    one. Rows with one id and other texts are decided each by itself, all of a component with its smallest id staying. Very long
+    texts are compared whole; an empty table stays empty; columns keep their names, clashing ones too.
+    """
     from logloom.llm.exact_dedup import SHA256
     from logloom.llm.minhash import near_duplicates
 
@@ -49,7 +70,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places every document's pieces in sequences of at most 2048 tokens."""
+    """Places every document's pieces in sequences of at most 2048 tokens: null texts as empty ones, repeated rows and null ids like others; an empty table gives none."""
     import public_tokenizers
 
     from logloom.llm.packing import pack
