@@ -23,8 +23,8 @@ PARTS = 4
 #: A text is none of the languages if its cross-entropy exceeds its language's median by more than this quantile of what calibration texts
 #: exceed it by, and by the margin (nats). Excesses are compared in units that grow with sqrt(1 + SHORT / letters), as short texts vary more.
 QUANTILE, MARGIN, SHORT = 0.99, 0.2, 200
-#: Learned texts that are counted at once.
-PART = 50
+#: Learned texts that are counted at once, and bytes of texts that are scored at once, as their n-grams take many times their size.
+PART, SCORED = 50, 1 << 18
 #: Steepness of the score in nats a character.
 STEEPNESS = 12.0
 
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, "_text", SCORED):
                 found = shared.value.predict([t or "" for t in part.column(0).to_pylist()])
                 kept = [part.column(i) for i in (*range(1, part.num_columns), *([0] if text_col in carry else []))]
                 columns = [kept[0], *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.bool_(), pa.float64()), strict=True)), *kept[1:]]

@@ -18,8 +18,9 @@ from logloom.llm.common import chunks, lean, staged
 from logloom.llm.tokens import LOWER_LETTERS, WordEncoder, cut_spaces, plain_of, quiet
 
 CAPACITY = 2048
-#: A length's pieces are numbered in so many hash buckets; counts by length and bucket, at most CAPACITY times as many, may be broadcast.
-SALTS = 32
+#: A length's pieces are numbered in hash buckets, one for so many pieces in all, from 32 to MOST_SALTS; counts by length and
+#: bucket, at most CAPACITY * MOST_SALTS rows of some 20 bytes, may be broadcast.
+PIECES_A_SALT, MOST_SALTS = 1_000_000, 1024
 
 _WORKER: dict[str, WordEncoder] = {}
 
@@ -111,10 +112,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces with (sequence_id, offset). ``pieces`` is read several times; it should be a stored table.
 
-    Only the histogram (at most ``capacity`` rows) comes to the driver. A hot length is numbered in SALTS hash buckets.
+    Only the histogram (at most ``capacity`` rows) comes to the driver, and the plan made of it (at most two groups of rows a
+    length and step) goes to the tasks. A hot length is numbered in hash buckets, more of them the more pieces there are.
     """
     spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(SALTS)).cast("int").alias("_salt")
+    salts = min(MOST_SALTS, max(32, pieces.count() // PIECES_A_SALT))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int").alias("_salt")
     counted = pieces.groupBy("length", salt).agg(F.count(F.lit(1)).alias("_n"))
     rows = plan({r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("_n").alias("n")).collect()}, capacity)
     bases = counted.withColumn("_base", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")

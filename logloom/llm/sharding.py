@@ -72,7 +72,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, seed: int = 7, id_col: st
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes docs as Parquet under path, partitioned by shard and sorted by slot within each; returns what was written.
 
-    Equal rows (same id, size and crc32) take their places in any order. Columns that clash with shard or slot are replaced.
+    Rows of the same id, size and crc32 take their places in the order of hashes of all their columns. Columns that clash with shard or slot are replaced.
     """
     places = assign_shards(docs, n_shards, seed, id_col, text_col)
     same = ["_id", "_size", "_crc"]
@@ -81,7 +81,8 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 40, seed: int = 7,
     places = places.withColumn("_k", F.row_number().over(w)).drop("position")
     t = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("_row"), F.col(id_col).alias("_id"), (F.octet_length(t).cast("long") + 16).alias("_size"), F.crc32(t.cast("binary")).cast("long").alias("_crc"))
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))))
+    # by the whole row, so that a task that runs again deals them alike; rows that are equal in all columns are one to the other
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64("_row"), F.to_json("_row"))))
     on = rows["_id"].eqNullSafe(places["_id"]) & (rows["_size"] == places["_size"]) & (rows["_crc"] == places["_crc"]) & (rows["_k"] == places["_k"])
     out = rows.join(places, on).select("_row.*", "shard", "slot")
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

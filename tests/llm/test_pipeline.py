@@ -42,7 +42,7 @@ def test_pipeline(spark):
     kept = {i: t for i, t in docs.items() if not models.predict([t or ""])[0][2]}
     stage = spark.createDataFrame(list(kept.items()), "doc_id long, text string")
     judge = quality.train(stage, spark.read.parquet(f"{sf}/labels.parquet"))
-    kept = {i: t for i, t in kept.items() if np.round(judge.score(quality.features([(t or "").encode()]))[0], 6) >= 0.3}
+    kept = {i: t for i, t in kept.items() if np.round(judge.score([(t or "").encode()])[0], 6) >= 0.3}
     last = {}
     for i, t in kept.items():
         last[t or ""] = max(i, last.get(t or "", i))
@@ -79,14 +79,19 @@ def test_stages_on_edges(spark, edges, nothing, small):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, edges, small)
         assert name == "packing" or {*out.columns} == {*edges.columns}
-        assert out.count() > 0 and stage(spark, nothing, small).count() == 0
+        n = out.count()
+        # the first two stages keep or drop by the text alone, and drop what has no words; the next two have exact tests below
+        assert {"language_id": 0 < n < edges.count(), "quality": 0 < n < edges.count(), "exact_dedup": n == 10, "near_dedup": n == 10, "packing": n >= edges.count()}[name] and stage(spark, nothing, small).count() == 0
+        if name in ("language_id", "quality"):
+            texts = [r["text"] for r in out.collect()]
+            assert all(t and t.strip() for t in texts) and all(texts.count(t) in (0, n) for t, n in Counter(r["text"] for r in edges.collect()).items())
 
 
 def test_rows_that_stay(spark, edges, small):
     stages = dict(corpus_pipeline.STAGES)
     stay = lambda name, docs: Counter((r["doc_id"], r["text"]) for r in stages[name](spark, docs, small).collect())
-    every = [(r["doc_id"], r["text"]) for r in edges.collect()]
-    # the empty text of 2 equals the null one of 1; the row without an id stays
+    every = {(r["doc_id"], r["text"]) for r in edges.collect()}
+    # the empty text of 2 equals the null one of 1; the row without an id stays; of 6's repeated rows one does
     assert stay("exact_dedup", edges) == Counter((i, t) for i, t in every if i not in (1, 5, 7))
     assert stay("near_dedup", edges) == Counter((i, t) for i, t in every if i not in (6, 8))
     # one id on several texts, and no id on several texts: each row has its own decision
@@ -95,4 +100,9 @@ def test_rows_that_stay(spark, edges, small):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert stay("exact_dedup", docs) == Counter([(2, a), (1, b), (None, c), (2, d + " end"), (1, d)])
     assert stay("near_dedup", docs) == Counter([(1, a), (1, b), (None, c), (1, d)])
+    # rows repeated with and without an id
+    rows = [(5, a)] * 3 + [(None, b)] * 3 + [(None, c), (7, c)] + [(None, None)] * 2 + [(None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((i, t or "") for i, t in stay("exact_dedup", docs).elements()) == Counter([(5, a), (None, b), (7, c), (None, "")])
+    assert Counter((i, t or "") for i, t in stay("near_dedup", docs).elements()) == Counter([(5, a), (None, b), (7, c), (None, "")])
     assert None in {r["doc_id"] for r in stages["packing"](spark, docs, small).collect()}
