@@ -7,10 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.llm.common import staged
+
 #: Rows are numbered within so many hash buckets; their counts, of this fixed number, may be broadcast.
 BUCKETS = 4096
 #: Steps of the cycle walk that every row can take before the exact walk of any length.
 STEPS = 4
+#: Copies of one row that are expanded by one task at once.
+PART = 1_000_000
 
 
 def feistel(x: Column, side: int, keys: list[int]) -> Column:
@@ -47,25 +51,29 @@ def permuted(df: DataFrame, number: str, n: int, seed: int, out: str) -> DataFra
 def assign_shards(docs: DataFrame, n_shards: int = 40, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, buckets: int = BUCKETS) -> DataFrame:
     """One row per row of docs: (id, size, text_crc32, row_number, position, shard, slot). Law ``rows``: counts differ by at most one.
 
-    A row's number is its rank by (hash bucket of the id, id, size, text_crc32), whatever the files' layout, so the shuffle is
-    reproducible; position is its Feistel image, shard = position mod n_shards and slot = position div n_shards, gapless from 0.
-    Only these narrow columns are shuffled, never texts. Equal rows are counted before the shuffle and expanded after it.
+    A row's number is its rank by (hash bucket, id, size, text_crc32), whatever the files' layout, so the shuffle is reproducible;
+    the bucket is of all three, so that many rows without an id, or with one, are spread. position is its Feistel image, shard =
+    position mod n_shards and slot = position div n_shards, gapless from 0. Only these narrow columns are shuffled, never texts.
+    Equal rows are counted before the shuffle and expanded after it, very many of them in parts.
 
-    Null ids are one more id; a null text counts as empty (size ``overhead``, crc32 0). Repeated rows get places of their own; an
-    empty table gives no rows; other columns, whatever their names, are ignored. The law spreads equal texts like any others.
+    Null ids are one more id; a null text counts as empty (size ``overhead``, crc32 0), very long ones are taken whole. Repeated
+    rows get places of their own; an empty table gives no rows; other columns, whatever their names, are ignored. The law spreads
+    equal texts like any others.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("_b")
-    counts = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
+    rows = rows.select("doc_id", (F.octet_length("_t").cast("long") + overhead).alias("size"), F.crc32(F.col("_t").cast("binary")).cast("long").alias("text_crc32"))
+    own = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int"))
+    own = staged(own, "rows")
+    counts = own.groupBy("_b").agg(F.sum("_n").alias("_n"), F.max("_n").alias("_most"))
+    total, most = counts.agg(F.sum("_n"), F.max("_most")).first()
     starts = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_start"))
-    own = rows.select("doc_id", (F.octet_length("_t").cast("long") + overhead).alias("size"), F.crc32(F.col("_t").cast("binary")).cast("long").alias("text_crc32"))
-    own = own.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", bucket)
     w = Window.partitionBy("_b").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("_end", F.sum("_n").over(w)).join(F.broadcast(starts), "_b")
-    own = own.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    own = own.withColumn("_end", F.sum("_n").over(w)).join(F.broadcast(starts), "_b").withColumn("_from", F.lit(0).cast("long"))
+    if (most or 0) > PART:
+        own = own.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(PART).cast("long")))).repartition("_b", "_from")
+    own = own.withColumn("_copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_n"), F.col("_from") + PART) - 1)))
     own = own.withColumn("row_number", F.col("_start") + F.col("_end") - F.col("_n") + F.col("_copy"))
-    own = permuted(own, "row_number", int(total), seed, "position")
+    own = permuted(own, "row_number", int(total or 0), seed, "position")
     return own.select("doc_id", "size", "text_crc32", "row_number", "position", F.pmod("position", F.lit(n_shards)).cast("int").alias("shard"), F.floor(F.col("position") / n_shards).cast("long").alias("slot"))
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 import xxhash
 from pyspark.sql import functions as F
 
+from logloom.llm import sharding
 from logloom.llm.sharding import assign_shards, feistel, permuted, write_shards
 
 
@@ -68,3 +69,10 @@ def test_written_shards(spark, edges, tmp_path):
     assert out.count() == edges.count() and set(out.columns) == {*edges.columns}
     want = Counter((r["doc_id"], r["shard"], r["slot"]) for r in assign_shards(edges, 3).collect())
     assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in out.collect()) == want
+
+
+def test_very_many_copies_of_a_row(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 7)
+    docs = spark.createDataFrame([(None, "same")] * 40 + [(1, "a")] * 15 + [(i, "x") for i in range(30)], "doc_id long, text string")
+    rows = assign_shards(docs, 6).collect()
+    assert sorted(r["position"] for r in rows) == list(range(85)) and sum(r["doc_id"] is None for r in rows) == 40
