@@ -12,6 +12,7 @@ from logloom.operators import ingest, lineage, monitor, verify
 from logloom.plans import definitions as defs
 from logloom.plans import learn, sqlgate
 from logloom.plans.compile import match_count, parse
+from logloom.session import spread
 from logloom.sources import csvlines, lines, synthetic
 
 QUERIES: dict = {}
@@ -56,11 +57,11 @@ _CEF_SQL = "'CEF:0|Edge|Wall|7.0|' || o_orderkey || '|' || CASE WHEN o_orderstat
 
 def event_lines(spark: SparkSession, sf_dir: str, form: str = "fortigate") -> DataFrame:
     c = F.col
-    return table(spark, sf_dir, "events").withColumn("line", getattr(synthetic, form)(c("ts"), c("event_id"), c("event_type").isin(*DENY), c("user_id")))
+    return spread(table(spark, sf_dir, "events")).withColumn("line", getattr(synthetic, form)(c("ts"), c("event_id"), c("event_type").isin(*DENY), c("user_id")))
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").withColumn("line", synthetic.cef(F.col("o_orderkey"), F.col("o_orderstatus") == "F", F.col("o_orderkey") % 10))
+    return spread(table(spark, sf_dir, "orders")).withColumn("line", synthetic.cef(F.col("o_orderkey"), F.col("o_orderstatus") == "F", F.col("o_orderkey") % 10))
 
 
 def _regex(name: str) -> str:
