@@ -84,7 +84,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """One row per row of docs: (doc_id, n_tokens, ids_sha256, decoded_sha256, then of ``keep`` any of ids, byte_starts, char_starts, char_ends, decoded).
 
     ids are those that tiktoken gives without special tokens. The vocabulary (of the size of the file) is broadcast.
-    A null text counts as empty (no tokens); repeated rows give repeated rows; an empty table none; more columns are ignored.
+    A null text counts as empty (no tokens); very long ones are encoded whole; repeated rows and tied ids give repeated rows; an
+    empty table none; more columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     definition = tokenizer_json(read_ranks(ranks_path), pattern)

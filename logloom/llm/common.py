@@ -90,6 +90,14 @@ def probe(rows: DataFrame, key: str, filt: DataFrame, log2_bits: int) -> DataFra
     return maybe(rows, key, filt, log2_bits, "_maybe").where("_maybe").drop("_maybe")
 
 
+def give_back() -> None:
+    """Lets unused memory go."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run for mapInArrow, which at the end of each task gives unused memory back: Spark's Python workers live on between tasks and stages."""
 
@@ -97,10 +105,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return ended
 

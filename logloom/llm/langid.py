@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import chunks, lean, mix64
+from logloom.llm.common import chunks, give_back, lean, mix64
 from logloom.llm.sampling import by_class, fold, within_bytes
 
 #: Labelled rows that are learned from (about), shared evenly by the languages; length of the n-grams; discount.
@@ -33,17 +34,19 @@ _LETTER: list[np.ndarray] = []
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all texts, lower case, every run without letters one space, each text between spaces; each text's first index; its letters."""
+    """Code points of all texts, lower case, every run without letters and marks one space, each text between spaces; each text's first index; its letters."""
     if not _LETTER:
+        # marks belong to the words that they stand in, but make none
         _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+        _LETTER.append(_LETTER[0] | np.fromiter((unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)), bool, 0x110000))
     cp = np.frombuffer("\0".join([*(t.lower().replace("\0", " ") for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter, end = _LETTER[0][cp], cp == 0
+    letter, part, end = _LETTER[0][cp], _LETTER[1][cp], cp == 0
     before = np.concatenate(([True], end[:-1]))
-    keep = letter | end | before | np.concatenate(([False], letter[:-1]))
+    keep = part | end | before | np.concatenate(([False], part[:-1]))
     text = np.cumsum(np.concatenate(([0], end[:-1])))[keep]
-    cp = np.where(letter, cp, 32)[keep]
+    cp, letter = np.where(part, cp, 32)[keep], letter[keep].astype(np.int64)
     first = np.searchsorted(text, np.arange(len(texts)))
-    return cp.astype(np.uint64), first, np.add.reduceat(cp != 32, first) if len(texts) else first
+    return cp.astype(np.uint64), first, np.add.reduceat(letter, first) if len(texts) else first
 
 
 def grams(cp: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
@@ -217,7 +220,10 @@ def train(docs: DataFrame, folds: int = 4, held: int = 2, rows: int = ROWS, id_c
     known, counts = by_class(known, "_lang", rows, "_id", "_text", together=True)
     for r in within_bytes(known.select("_lang", "_text"), "_lang", "_text", len(counts)).select("_lang", "_text").toLocalIterator():
         sample.setdefault(r[0], set()).add(r[1])
-    return LanguageModels({k: sorted(v) for k, v in sample.items()})
+    models = LanguageModels({k: sorted(v) for k, v in sample.items()})
+    models._reset()
+    give_back()
+    return models
 
 
 def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -270,8 +270,8 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, clips[, media]).
 
     payload_sha256, tail_crc32, feature and clips (first and last frame, start and end in seconds, mean luma) come from reading
-    the stored bytes. A null text counts as empty: 64 zero bytes. Repeated rows are alike; an empty table gives no rows; more
-    columns are ignored.
+    the stored bytes. A null text counts as empty: 64 zero bytes; very long ones become more frames. Repeated rows and ties are
+    alike; an empty table gives no rows; more columns are ignored.
     """
     clip = pa.struct([("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("mean_luma", pa.int32())])
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(clip), *([pa.binary()] if keep_media else [])]

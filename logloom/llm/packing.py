@@ -132,8 +132,9 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """One row per piece: (doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset), in as few sequences as best fit finds.
 
-    A null text counts as empty: one piece of end_id alone. Only documents longer than ``capacity`` are cut. Null ids and repeated
-    rows are packed like others; an empty table gives no rows; more columns are ignored.
+    A null text counts as empty: one piece of end_id alone. Only documents longer than ``capacity`` are cut, however long.
+    Null ids, repeated rows and ties are packed like others: pieces that are alike in id, place and checksum take their places in
+    any order. An empty table gives no rows; more columns are ignored.
     """
     return place(staged(pieces_of(docs, tokenizer_path, id_col, text_col, capacity, end_id, keep_ids), "pieces"), capacity)
 

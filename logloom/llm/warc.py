@@ -224,7 +224,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """All records and gaps (READ_SCHEMA) of the archives under path. A row has either record fields or a gap_reason; bytes of gaps stay addressable by (file, offset, length)."""
+    """All records and gaps (READ_SCHEMA) of the archives under path. A row has either record fields or a gap_reason; bytes of gaps stay addressable by (file, offset, length).
+
+    An archive is one task's and has at most 2 GB, as Spark's binary reader takes files whole (write_warc bounds them). Empty
+    archives, and a folder without any, give no rows.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
