@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import chunks, lean, word_hashes
+from logloom.llm.common import chunks, give_back, lean, word_hashes
 from logloom.llm.sampling import fold, labelled
 
 #: Labelled rows of each class that are learned from (about), dimensions, neighbours, and the power of a similarity that is its weight.
-PER_CLASS, DIMENSIONS, NEIGHBOURS, POWER = 1500, 64, 15, 8
+PER_CLASS, DIMENSIONS, NEIGHBOURS, POWER = 1000, 64, 15, 8
 #: A text that is unlike all labelled ones is not of high quality: label 0 has as many votes more as there are neighbours, each of this similarity.
 STRANGE = 0.5
 #: Short texts have few trigrams to share: similarities of a text of n bytes are multiplied by sqrt(1 + SHORT / n), up to the part that is not latent.
@@ -57,17 +57,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Neighbours:
     """The model: a projection from weighted features, and the labelled vectors in it. Its size is bounded by the sample's."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, dimensions: int = DIMENSIONS, k: int = NEIGHBOURS, power: float = POWER):
-        self.y, self.k, self.power = y.astype(np.float64), min(k, len(y)), power
-        known = (x > 0).mean(axis=0) if len(x) else np.zeros(FEATURES)
+    def __init__(self, texts: list[bytes], y: np.ndarray, dimensions: int = DIMENSIONS, k: int = NEIGHBOURS, power: float = POWER):
+        n = len(texts)
+        self.y, self.k, self.power = y.astype(np.float64), min(k, n), power
+        x = np.zeros((n, FEATURES), np.float32)
+        for i in range(0, n, ROWS):
+            x[i : i + ROWS] = features(texts[i : i + ROWS])
         #: Square roots of smoothed inverse document frequencies; what no labelled text has weighs as what one has.
-        self.weight = np.sqrt(np.log((1 + len(x)) / (1 + np.maximum(known * len(x), 1 if len(x) else 0))) + 0.1).astype(np.float32)
-        a = _unit(x * self.weight)
+        self.weight = np.sqrt(np.log((1 + n) / (1 + np.maximum(np.count_nonzero(x, axis=0), min(1, n)))) + 0.1).astype(np.float32)
+        x *= self.weight
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         # the latent dimensions: the right singular vectors of the labelled texts, by the eigenvectors of their products
-        values, vectors = np.linalg.eigh((a @ a.T).astype(np.float64)) if len(x) else (np.zeros(0), np.zeros((0, 0)))
-        kept = np.flatnonzero(values > 1e-6)[-dimensions:]
-        self.projection = self.weight[:, None] * (a.T @ (vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32))
-        self.vectors = _unit(x @ self.projection).astype(np.float32)
+        values, vectors = np.linalg.eigh(x @ x.T) if n else (np.zeros(0, np.float32), np.zeros((0, 0), np.float32))
+        kept = np.flatnonzero(values > 1e-3)[-dimensions:]
+        axes = x.T @ (vectors[:, kept] / np.sqrt(values[kept]))
+        self.vectors = _unit(x @ axes)
+        self.projection = self.weight[:, None] * axes
 
     def similarities(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Cosines in the latent space, times the share of the text's weighted length that lies in it (by ``size``, its bytes, more for short texts)."""
@@ -98,7 +103,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per
     """Learns from about ``per_class`` rows a label outside the held-out fold, which come to the driver, at most sampling.MOST_BYTES of text."""
     sample, _ = labelled(docs, labels, "quality", folds, held, per_class, id_col, text_col)
     rows = sorted((r["_label"], r["_text"].encode()) for r in sample.where("_label in (0, 1)").toLocalIterator())
-    return Neighbours(features([t for _, t in rows]), np.array([y for y, _ in rows], np.float64))
+    model = Neighbours([t for _, t in rows], np.array([y for y, _ in rows], np.float64))
+    give_back()
+    return model
 
 
 def score_quality(docs: DataFrame, model: Neighbours, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -119,16 +119,20 @@ def _sparse(rng, n, terms):
     return out
 
 
-def test_index_is_exact():
+def test_index_is_exact(monkeypatch):
     rng = np.random.default_rng(4)
     vectors = _sparse(rng, 300, 20)
-    index = toxicity.BlockMaxIndex(vectors, 20, block=16)
     dense = np.zeros((300, 20))
     for row, (at, w) in zip(dense, vectors, strict=True):
         row[at] = w
-    exact, found = dense @ dense.T, index.cosines(vectors, 9)
+    exact = dense @ dense.T
     kth = np.sort(exact, axis=1)[:, [-9]]
-    assert np.allclose(found[exact >= kth], exact[exact >= kth], atol=1e-6) and (found <= exact + 1e-6).all() and (found == 0).any()
+    for common in (0, 3, 20):
+        monkeypatch.setattr(toxicity, "COMMON", common)
+        index = toxicity.BlockMaxIndex(vectors, 20, block=16)
+        found = np.concatenate([index.cosines(vectors[i : i + 16], 9) for i in range(0, 300, 16)])
+        assert len(index.matrix) == common and np.allclose(found[exact >= kth], exact[exact >= kth], atol=1e-6) and (found <= exact + 1e-6).all()
+        assert common == 20 or (found < exact - 1e-3).any()  # blocks were skipped
     assert toxicity.BlockMaxIndex([], 20).cosines(vectors[:2], 9).shape == (2, 0)
 
 
@@ -295,3 +299,10 @@ def test_an_unlearned_language_is_rejected(spark, out):
     assert np.mean([x for foreign, x in found if not foreign]) < 0.005
     # without letters that it has learned, a text of few letters is rejected too
     assert models.predict(["漢字仮名交文章記述言語文字列表"])[0][2]
+
+
+def test_marks_do_not_break_words():
+    cp, first, letters = langid.symbols(["हिन्दी है", "e\u0301t\u0301e", "\u0301\u0302", "a1b"])
+    words = ["".join(map(chr, x)) for x in np.split(cp, first[1:])]
+    assert [w.split() for w in words] == [["हिन्दी", "है"], ["e\u0301t\u0301e"], ["\u0301\u0302"], ["a", "b"]] and letters.tolist() == [4, 3, 0, 2]
+    assert langid.LanguageModels({"hi": ["हिन्दी है"]}).predict(["\u0301\u0302"])[0][0] == "und"
