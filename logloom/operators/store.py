@@ -21,10 +21,16 @@ def batch_id(events: DataFrame) -> str:
 
 def write_events(events: DataFrame, path: str) -> str | None:
     """Adds a batch of the flat event table under path/batch=<digest>; the same rows again replace themselves. Returns the batch's id, None for no rows."""
-    if not (batch := batch_id(events)):
-        return None
-    events.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").option("compression", "zstd").parquet(path)
-    return batch
+    kept = events.storageLevel.useMemory or events.storageLevel.useDisk
+    rows = events if kept else events.persist()  # they are read for the digest and for the write
+    try:
+        if not (batch := batch_id(rows)):
+            return None
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").option("compression", "zstd").parquet(path)
+        return batch
+    finally:
+        if not kept:
+            rows.unpersist()
 
 
 def exists(spark: SparkSession, path: str) -> bool:
