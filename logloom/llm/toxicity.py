@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import chunks, lean
+from logloom.llm.common import chunks, give_back, lean
 from logloom.llm.sampling import fold, labelled
 
 #: Labelled rows of each class that are learned from (about), neighbours, and examples of an index block.
@@ -21,7 +21,9 @@ LEAST_TEXTS = 2
 #: Texts that stand beside those learned, spread as the classes are, when a term's relevance to a class is estimated.
 PRIOR_TEXTS = 2.0
 #: Blocks of greatest bound that are scored before others are skipped, texts that are scored at once, and decimals of a cosine that count.
-FIRST, QUERIES, DECIMALS = 4, 16, 10
+FIRST, QUERIES, DECIMALS = 4, 16, 6
+#: Terms that the index keeps as rows of a matrix at most, and the part of the examples that they are in at least.
+COMMON, FREQUENT = 256, 1 / 16
 #: Terms and examples that are given as evidence.
 EVIDENCE = 5
 
@@ -40,15 +42,28 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class BlockMaxIndex:
-    """An inverted index of unit vectors (terms in order, weights). A cell is a term's postings in a block of examples, with their greatest weight."""
+    """An inverted index of unit vectors (terms in order, weights). A cell is a term's postings in a block of examples, with their greatest weight.
+
+    The postings of terms in many examples, the COMMON most frequent of those in a FREQUENT part of all, are kept as rows of a
+    matrix instead, whose products are taken for all examples at once.
+    """
 
     def __init__(self, vectors: list[Vector], terms: int, block: int = BLOCK):
-        self.n, self.blocks = len(vectors), -(-len(vectors) // block)
+        self.n, self.blocks, self.block = len(vectors), -(-len(vectors) // block), block
         empty = [np.zeros(0, np.int64)]
         example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors]) if vectors else empty[0]
-        term, weight = np.concatenate([t for t, _ in vectors] or empty), np.concatenate([w for _, w in vectors] or empty).astype(float)
+        term, weight = np.concatenate([t for t, _ in vectors] or empty), np.concatenate([w for _, w in vectors] or empty).astype(np.float32)
+        count = np.bincount(term, minlength=terms)
+        common = np.argsort(-count, kind="stable")[:COMMON]
+        common = common[count[common] >= max(2, FREQUENT * self.n)]
+        self.row = np.full(terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.n), np.float32)
+        dense = self.row[term] >= 0
+        self.matrix[self.row[term[dense]], example[dense]] = weight[dense]
+        term, example, weight = term[~dense], example[~dense], weight[~dense]
         order = np.lexsort((example, term))
-        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order].astype(np.float32)
+        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order]
         cell = term * max(1, self.blocks) + self.example // block
         start = np.flatnonzero(np.diff(cell, prepend=-1))
         self.cell_start = np.append(start, len(cell))
@@ -57,20 +72,25 @@ class BlockMaxIndex:
         self.term_start = np.searchsorted(term[start], np.arange(terms + 1))
 
     def cosines(self, queries: list[Vector], k: int, first: int = FIRST) -> np.ndarray:
-        """A row per unit query and a column per example: the cosines, exact for all that are among the k greatest (and 0 for some that aren't).
+        """A row for each of up to QUERIES unit queries and a column per example: the cosines, exact for all that are among the k greatest (and too small for some that aren't).
 
-        A block is skipped only if its bound, the sum of the query's weights times the cells' greatest, is below the k-th greatest
-        cosine in the blocks of the greatest bounds.
+        A block is skipped only if its bound, the greatest product with the matrix plus the sum of the query's other weights times
+        the cells' greatest, is below the k-th greatest cosine in the blocks of the greatest bounds.
         """
-        out = np.zeros((len(queries), self.n))
         if not self.n:
-            return out
+            return np.zeros((len(queries), 0))
         owner = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
         term, weight = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        # always of the same shape, so that a cosine has the same bits wherever its query is
+        common, row = np.zeros((QUERIES, len(self.matrix)), np.float32), self.row[term]
+        common[owner[row >= 0], row[row >= 0]] = weight[row >= 0]
+        out = (common @ self.matrix)[: len(queries)].astype(np.float64)
+        most = np.maximum.reduceat(out, np.arange(0, self.n, self.block), axis=1)
+        owner, term, weight = owner[row < 0], term[row < 0], weight[row < 0]
         cell, size = _ranges(self.term_start[term], self.term_start[term + 1])
         owner, weight = np.repeat(owner, size), np.repeat(weight, size)
         place = owner * self.blocks + self.cell_block[cell]
-        bound = np.bincount(place, weight * self.cell_most[cell], out.shape[0] * self.blocks).reshape(-1, self.blocks)
+        bound = most + np.bincount(place, weight * self.cell_most[cell], most.size).reshape(most.shape)
 
         def score(blocks: np.ndarray) -> None:
             use = blocks.ravel()[place]
@@ -83,8 +103,8 @@ class BlockMaxIndex:
             return out
         best = bound >= np.partition(bound, self.blocks - first, axis=1)[:, [self.blocks - first]]
         score(best)
-        worst = np.partition(out, self.n - k, axis=1)[:, [self.n - k]]
-        score(~best & (bound > 0) & (bound >= worst - 1e-9))
+        worst = np.partition(np.where(np.repeat(best, self.block, axis=1)[:, : self.n], out, -1.0), self.n - k, axis=1)[:, [self.n - k]]
+        score(~best & (bound >= worst - 1e-6))
         return out
 
 
@@ -202,7 +222,9 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Learns from about ``per_class`` rows a label outside the held-out fold, which come to the driver, at most sampling.MOST_BYTES of text."""
     sample, rows = labelled(docs, labels, "toxic", folds, held, per_class, id_col, text_col)
-    return ToxicityModel([(r["_id"], r["_label"], tokens(r["_text"])) for r in sample.where("_label in (0, 1)").toLocalIterator()], rows)
+    model = ToxicityModel([(r["_id"], r["_label"], tokens(r["_text"])) for r in sample.where("_label in (0, 1)").toLocalIterator()], rows)
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
