@@ -432,9 +432,9 @@ def masked_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with a CSV header beside files of other lines, by the flow's defaults."""
     c = F.col
-    number = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) + 1
+    number = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("bigint") + 1  # offsets pass 2^31 bytes
     rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("/csv/"), c("c_nationkey").cast("string")).alias("path"), number.alias("no"), F.concat_ws(",", "c_mktsegment", "c_name", (c("c_custkey") % 100).cast("string"), F.lit('"a,""b"""')).alias("line"))
-    heads = table(spark, sf_dir, "nation").select(F.concat(F.lit("/csv/"), c("n_nationkey").cast("string")).alias("path"), F.lit(1).alias("no"), F.lit("Action,User-Name,Balance,note").alias("line"))
-    other = event_lines(spark, sf_dir).select(F.lit("/logs/fortigate").alias("path"), (c("event_id") + 1).cast("int").alias("no"), "line")
+    heads = table(spark, sf_dir, "nation").select(F.concat(F.lit("/csv/"), c("n_nationkey").cast("string")).alias("path"), F.lit(1).cast("bigint").alias("no"), F.lit("Action,User-Name,Balance,note").alias("line"))
+    other = event_lines(spark, sf_dir).select(F.lit("/logs/fortigate").alias("path"), (c("event_id") + 1).cast("bigint").alias("no"), "line")
     made = ingest.ingest_lines(raw_lines(rows.unionByName(heads).unionByName(other), c("path"), c("no") * 500, c("no")), ingest_time=ingest_time())
     return made.events.where("parser.name = 'csv_header'").select("source.file", "source.line_no", "parser.name", "event.action", "event.user_name", "unmapped_json").toDF("source_file", "line_no", "parser_name", "action", "user_name", "unmapped_json")

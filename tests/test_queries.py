@@ -47,3 +47,13 @@ def test_plans_push_down(spark):
     events = spark.read.parquet(f"{SF}/events.parquet")
     plan = events.where("user_id = 3").groupBy("event_type").count()._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,3)]" in plan and "props" not in plan.split("ReadSchema")[1]
+
+
+def test_csv_ingest_beyond_an_integer_of_bytes(spark, tmp_path):
+    """Lines whose offsets pass 2^31 beside the CSV files."""
+    for t in ("customer", "nation"):
+        os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    duckdb.sql(f"COPY (SELECT * REPLACE (event_id + 5000000000 AS event_id) FROM '{SF}/events.parquet' WHERE event_id < 20) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    out = engine.QUERIES["csv_ingest"](spark, str(tmp_path))
+    found = duckdb.sql(engine.ORACLE["csv_ingest"].replace("FROM customer", f"FROM '{SF}/customer.parquet'"))
+    assert _plain([tuple(r) for r in out.collect()], out.columns) == _plain(found.fetchall(), found.columns)
