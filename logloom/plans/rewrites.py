@@ -54,6 +54,36 @@ def qualified(sql: str) -> str:
     return level(False)
 
 
+#: The relative standard deviation of distinct counts that name none: 2,048 registers, 0.023. Of Spark's own, 512 registers, one count in 33 is 10 percent off.
+DISTINCT_ERROR = 0.03
+
+
+def finer(sql: str) -> str:
+    """The query with an accuracy, DISTINCT_ERROR, for every approx_count_distinct that states none."""
+    if "approx_count_distinct" not in sql.lower():
+        return sql
+    pieces, at = _PIECE.findall(sql), 0
+
+    def level(closed: bool) -> tuple[str, int]:
+        """The text up to the bracket that closes this level, without it, and how many commas are its own."""
+        nonlocal at
+        out, commas, called = "", 0, False
+        while at < len(pieces):
+            piece = pieces[at]
+            at += 1
+            if piece == ")" and closed:
+                break
+            if piece == "(":
+                inner, more = level(True)
+                out += f"({inner}, {DISTINCT_ERROR})" if called and not more else f"({inner})"
+            else:
+                out, commas = out + piece, commas + (piece == ",")
+            called = piece.lower() == "approx_count_distinct" or (called and (piece.isspace() or piece[:2] in ("--", "/*")))
+        return out, commas
+
+    return level(False)[0]
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: str, at: str, right_at: str, columns: list[str], slice_seconds: int | None = None) -> DataFrame:
     """Each left row with the columns of the last right row of its key at or before it; null if there is none.
 

@@ -74,7 +74,7 @@ def statement(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         for t in tables:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(sql)
+        return spark.sql(rewrites.finer(sql))
 
     run.__name__ = name
     return run

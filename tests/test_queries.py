@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__
 from logloom import queries as engine
 from logloom import surface
+from logloom.plans import rewrites
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,16 @@ def test_csv_ingest_beyond_an_integer_of_bytes(spark, tmp_path):
     out = engine.QUERIES["csv_ingest"](spark, str(tmp_path))
     found = duckdb.sql(engine.ORACLE["csv_ingest"].replace("FROM customer", f"FROM '{SF}/customer.parquet'"))
     assert _plain([tuple(r) for r in out.collect()], out.columns) == _plain(found.fetchall(), found.columns)
+
+
+def test_approximate_counts_stay_near(spark, tmp_path):
+    """A million values, whose distinct count Spark's default accuracy misses by more than 10 percent."""
+    spark.range(1_200_000).selectExpr("'A' AS l_returnflag", "id AS l_partkey", "1000.0D + id % 1000 AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in surface.QUERIES["sql_approximate"](spark, str(tmp_path)).collect()] == [("A", True, True)]
+
+
+def test_finer():
+    e = rewrites.DISTINCT_ERROR
+    sql = "SELECT Approx_Count_Distinct /* ( */ (coalesce(a, 'b)(,')), approx_count_distinct(a, 0.1), 'approx_count_distinct(a)', (approx_count_distinct(f(a, b))) FROM t"
+    assert rewrites.finer(sql) == sql.replace("'b)(,'))", f"'b)(,'), {e})").replace("f(a, b))", f"f(a, b), {e})")
+    assert rewrites.finer("SELECT approx_count_distinct(a) FROM t) x") == f"SELECT approx_count_distinct(a, {e}) FROM t) x"
