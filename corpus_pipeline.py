@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm.common import scratch, text_or_empty
+from logloom.llm.common import scratch, small_batches, text_or_empty
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +16,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     from logloom.llm.langid import identify, train
 
+    small_batches(spark)
     return identify(docs, train(docs), carry=tuple(docs.columns)).where(~F.col("rejected")).select("row.*")
 
 
@@ -27,6 +28,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     from logloom.llm.quality import score_quality, train
 
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return score_quality(docs, train(docs, labels), carry=tuple(docs.columns)).where("predicted = 1").select("row.*")
 
@@ -65,6 +67,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     from logloom.llm.exact_dedup import SHA256
     from logloom.llm.minhash import near_duplicates
 
+    small_batches(spark)
     keyed = docs.select("doc_id", "text", SHA256(text_or_empty()).alias("digest"))
     return _staying(docs, near_duplicates(keyed, carry=("digest",)).where("kept").select("doc_id", "digest"))
 
@@ -75,6 +78,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     from logloom.llm.packing import pack
 
+    small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BITMAP_BITS = 32768
 #: Upper bound of the text bytes that a Python worker handles at once.
 CHUNK_BYTES = 1 << 20
+#: Upper bound of the bytes that pass to a Python worker at once; Spark's own is 64 MB.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -110,6 +112,18 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return ended
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session passes rows to Python in batches of at most BATCH_BYTES (or a single row); a smaller bound that it has stays.
+
+    An executor holds a batch several times for each task: as vectors, which double as they grow, as a message and in the worker.
+    Results don't depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < found <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batch whose texts have at most ``most`` bytes together (or a single row)."""
     import pyarrow.compute as pc

@@ -109,3 +109,21 @@ def test_rows_that_stay(spark, edges, small):
     assert Counter((i, t or "") for i, t in stay("exact_dedup", docs).elements()) == Counter([(5, a), (None, b), (7, c), (None, "")])
     assert Counter((i, t or "") for i, t in stay("near_dedup", docs).elements()) == Counter([(5, a), (None, b), (7, c), (None, "")])
     assert None in {r["doc_id"] for r in stages["packing"](spark, docs, small).collect()}
+
+
+@pytest.mark.parametrize("name", ["language_id", "quality", "near_dedup", "packing"])
+def test_stages_pass_small_batches(spark, small, name):
+    """Batches that pass to Python are bounded in bytes by each stage that has any; a smaller bound stays."""
+    from logloom.llm import common
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    try:
+        stage(spark, docs, small)
+        assert int(spark.conf.get(key).rstrip("b")) == common.BATCH_BYTES
+        spark.conf.set(key, "1000")
+        stage(spark, docs, small)
+        assert int(spark.conf.get(key).rstrip("b")) == 1000
+    finally:
+        spark.conf.unset(key)
